@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.llm import sentencepiece_fst, sstable
+from quillstone.llm.packing import pack
+from quillstone.llm.sharding import shuffle_shards
 from quillstone.llm.substring_dedup import dedup_substrings
 
 
@@ -11,23 +14,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where this machine keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled and dealt into 40 shards."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shuffle_shards(docs, shards=40, with_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op3_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in 35-word windows that start twice or more, removed from every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs, window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in sorted-string-table shards, read back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = sstable.write(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return sstable.read(spark, shards, docs.schema["doc_id"].dataType)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids, and whether and to what they decode."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_fst.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op2_two_pass_shuffle": op2_two_pass_shuffle,
+    "op3_differencing_pack": op3_differencing_pack,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sstable": op7_sstable,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES = {
     "op6_substring_dedup": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
-        i AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS at, words FROM w WHERE len(words) >= 35),
-        h AS (SELECT doc_id, at, md5(array_to_string(words[at:at + 34], ' ')) AS h FROM i),
-        r AS (SELECT doc_id, at FROM (SELECT doc_id, at, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
-        g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 35)) AS p FROM r),
+        i AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS p0, words FROM w WHERE len(words) >= 35),
+        h AS (SELECT doc_id, p0, md5(array_to_string(list_slice(words, p0, p0 + 34), ' ')) AS h FROM i),
+        r AS (SELECT doc_id, p0 FROM (SELECT doc_id, p0, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(p0, p0 + 35)) AS p FROM r),
         l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
