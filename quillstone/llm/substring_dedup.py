@@ -83,14 +83,11 @@ class Batch:
         ok = right - left <= self.window
         return names[ok], left[ok], right[ok]
 
-    def candidates(self, shared: list[np.ndarray]) -> np.ndarray:
+    def candidates(self, answers: pa.Table, buckets: int) -> np.ndarray:
         """Starts of the windows that hold no symbol which is known to occur once."""
         at = W.window_starts(self.first, self.window)
         names, left, right = self.symbols()
-        known = np.zeros(len(names), dtype=bool)
-        for part in shared:
-            where = np.searchsorted(part, names)
-            known |= part[np.minimum(where, len(part) - 1)] == names
+        known = G.Distinct(names, None, buckets).shared(answers)
         left, right = left[~known], right[~known]
         change = np.zeros(len(self.h) + 2, dtype=np.int32)
         np.add.at(change, np.maximum(right - self.window, 0), 1)
@@ -158,7 +155,7 @@ def dedup_substrings(
 
     def symbols(key: tuple, table: pa.Table) -> pa.Table:
         names, _, _ = Batch(table[text], window, rounds).symbols()
-        return G.sent_table(G.send(key[0].as_py(), names, None, buckets))
+        return G.sent_table(G.Distinct(names, None, buckets).rows(key[0].as_py()))
 
     shared = G.shared(named.select("grp", text).groupBy("grp").applyInArrow(symbols, G.SENT))
 
@@ -170,7 +167,7 @@ def dedup_substrings(
 
     def windows(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(table[text], window, rounds)
-        at = batch.candidates([lo for lo, _ in G.told(answers)])
+        at = batch.candidates(answers, buckets)
         lo, hi = batch.fingerprints(at)
         owner = np.searchsorted(batch.first, at, side="right") - 1
         pending = np.zeros(len(table), dtype=bool)
@@ -193,7 +190,7 @@ def dedup_substrings(
             columns[text] = pa.array([t if p else None for t, p in zip(table[text].to_pylist(), pending, strict=True)], pa.string())
         columns |= {"kind": pa.array(pending.astype(np.int32)), "sent": pa.nulls(rows, arrow.field("sent").type), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(np.where(pending, None, 0).tolist(), pa.int64()), "kept": pa.array(kept, pa.binary()), "at": pa.array(starts, pa.binary())}
         out = pa.Table.from_arrays([_as(columns[f.name], f.type) for f in arrow], schema=arrow)
-        rows = G.send(key[0].as_py(), lo, hi, buckets)
+        rows = G.Distinct(lo, hi, buckets).rows(key[0].as_py())
         if rows:
             grp = [r.pop("grp") for r in rows]
             more = {"grp": pa.array(grp, pa.int64()), "kind": pa.array([2] * len(rows), pa.int32()), "sent": pa.array(rows, arrow.field("sent").type)}
@@ -210,17 +207,7 @@ def dedup_substrings(
         starts = [np.frombuffer(x, np.int64) for x in table["at"].to_pylist()]
         at = np.concatenate([x + batch.first[k] for k, x in enumerate(starts)]) if starts else np.zeros(0, np.int64)
         lo, hi = batch.fingerprints(at)
-        hit = np.zeros(len(at), dtype=bool)
-        for a, b in G.told(answers):
-            pos = np.searchsorted(a, lo)
-            # equal low halves are next to each other; more than one is so rare that a few steps do
-            while True:
-                inside = pos < len(a)
-                live = inside & (a[np.minimum(pos, len(a) - 1)] == lo)
-                hit |= live & (b[np.minimum(pos, len(a) - 1)] == hi)
-                if not (live & ~hit).any():
-                    break
-                pos = np.where(live & ~hit, pos + 1, len(a))
+        hit = G.Distinct(lo, hi, buckets).shared(answers)
         gone = batch.removed(at[hit])
         out = [batch.kept(k, gone) for k in range(len(table))]
         columns = {c: table[c] for c in inner}
