@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import sentencepiece_fst, sstable
+from quillstone.llm import pii, quality_rules, secret_scan, sentencepiece_fst, sstable
 from quillstone.llm.packing import pack
 from quillstone.llm.sharding import shuffle_shards
 from quillstone.llm.substring_dedup import dedup_substrings
@@ -21,6 +21,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed formats, and candidates that boosted trees select."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train()).drop("text")
+
+
 def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled and dealt into 40 shards."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,6 +39,20 @@ def op3_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: fixed formats, and runs that the Markov models tell from identifiers."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scan(docs, secret_model(spark, docs)).drop("text")
+
+
+def secret_model(spark: SparkSession, docs: DataFrame) -> secret_scan.Model:
+    return secret_scan.train(secret_scan.samples(spark, docs, rows=1000))
+
+
+def quality_list(docs: DataFrame, labels: DataFrame) -> list[quality_rules.Rule]:
+    return quality_rules.learn(quality_rules.labelled_rows(docs, labels, most=4000))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in 35-word windows that start twice or more, removed from every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +66,13 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(spark, shards, docs.schema["doc_id"].dataType)
 
 
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and the learned list's verdict on all documents."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_list(docs, _table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, rules).drop("text")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids, and whether and to what they decode."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,10 +80,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_boosted_pii": op1_boosted_pii,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
     "op3_differencing_pack": op3_differencing_pack,
+    "op5_markov_secrets": op5_markov_secrets,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sstable": op7_sstable,
+    "op8_decision_list": op8_decision_list,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
