@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import pii, quality_rules, secret_scan, sentencepiece_fst, sstable
+from quillstone.llm import ngram_join, pii, quality_rules, secret_scan, sentencepiece_fst, sstable
 from quillstone.llm.packing import pack
 from quillstone.llm.sharding import shuffle_shards
 from quillstone.llm.substring_dedup import dedup_substrings
@@ -39,6 +39,12 @@ def op3_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and its links: five-word n-grams, Jaccard similarity of 0.8."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join(docs, width=5, similarity=0.8)
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: fixed formats, and runs that the Markov models tell from identifiers."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -83,6 +89,7 @@ QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
     "op3_differencing_pack": op3_differencing_pack,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_markov_secrets": op5_markov_secrets,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sstable": op7_sstable,
@@ -90,7 +97,27 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
 }
 
+#: Words of each text, their five-word n-grams (all words of a shorter text), exact Jaccard similarities of texts with
+#: different n-grams, and the components of links by the least document that each reaches.
+_NGRAM_ORACLE = """
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
+    g AS (SELECT doc_id, list_sort(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: md5(array_to_string(list_slice(words, i, i + 4), ' ')))
+                                        WHEN len(words) > 0 THEN [md5(array_to_string(words, ' '))] ELSE [] END) AS grams FROM w),
+    k AS (SELECT doc_id, grams, CASE WHEN len(grams) = 0 THEN 'alone ' || doc_id ELSE md5(array_to_string(grams, ' ')) END AS key FROM g),
+    c AS MATERIALIZED (SELECT key, min(doc_id) AS copy_id, list_distinct(any_value(grams)) AS grams FROM k GROUP BY key),
+    u AS MATERIALIZED (SELECT copy_id, len(grams) AS n, unnest(grams) AS gram FROM c),
+    p AS (SELECT a.copy_id AS x, b.copy_id AS y, count(*) AS both, any_value(a.n) AS m, any_value(b.n) AS n FROM u a JOIN u b ON a.gram = b.gram AND a.copy_id < b.copy_id GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT x, y FROM p WHERE both >= 0.8 * (m + n - both) - 1e-9),
+    e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+    least_id AS (SELECT x, min(y) AS low FROM r GROUP BY x),
+    links AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+    SELECT k.doc_id, least(c.copy_id, coalesce(low, c.copy_id)) AS class_id, c.copy_id, coalesce(links.n, 0)::BIGINT AS n_links
+    FROM k JOIN c USING (key) LEFT JOIN least_id ON least_id.x = c.copy_id LEFT JOIN links ON links.x = c.copy_id
+"""
+
 ORACLES = {
+    "op4_ngram_jaccard": _NGRAM_ORACLE,
     "op6_substring_dedup": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
         i AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS p0, words FROM w WHERE len(words) >= 35),
