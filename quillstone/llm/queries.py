@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import ngram_join, pii, quality_rules, secret_scan, sentencepiece_fst, sstable
+from quillstone.llm import ngram_join, permutation_index, pii, quality_rules, secret_scan, sentencepiece_fst, sstable
 from quillstone.llm.packing import pack
 from quillstone.llm.sharding import shuffle_shards
 from quillstone.llm.substring_dedup import dedup_substrings
@@ -85,6 +85,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest others found for every vector whose id is divisible by 20."""
+    return permutation_index.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
@@ -95,6 +100,7 @@ QUERIES = {
     "op7_sstable": op7_sstable,
     "op8_decision_list": op8_decision_list,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 #: Words of each text, their five-word n-grams (all words of a shorter text), exact Jaccard similarities of texts with
@@ -106,8 +112,8 @@ _NGRAM_ORACLE = """
     k AS (SELECT doc_id, grams, CASE WHEN len(grams) = 0 THEN 'alone ' || doc_id ELSE md5(array_to_string(grams, ' ')) END AS key FROM g),
     c AS MATERIALIZED (SELECT key, min(doc_id) AS copy_id, list_distinct(any_value(grams)) AS grams FROM k GROUP BY key),
     u AS MATERIALIZED (SELECT copy_id, len(grams) AS n, unnest(grams) AS gram FROM c),
-    p AS (SELECT a.copy_id AS x, b.copy_id AS y, count(*) AS both, any_value(a.n) AS m, any_value(b.n) AS n FROM u a JOIN u b ON a.gram = b.gram AND a.copy_id < b.copy_id GROUP BY 1, 2),
-    l AS MATERIALIZED (SELECT x, y FROM p WHERE both >= 0.8 * (m + n - both) - 1e-9),
+    p AS (SELECT a.copy_id AS x, b.copy_id AS y, count(*) AS same_n, any_value(a.n) AS m, any_value(b.n) AS n FROM u a JOIN u b ON a.gram = b.gram AND a.copy_id < b.copy_id GROUP BY 1, 2),
+    l AS MATERIALIZED (SELECT x, y FROM p WHERE same_n >= 0.8 * (m + n - same_n) - 1e-9),
     e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
     r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
     least_id AS (SELECT x, min(y) AS low FROM r GROUP BY x),
