@@ -32,6 +32,16 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
 
 
+def apart(sample: np.ndarray, pivots: int, cosine: float = 0.8) -> np.ndarray:
+    """The first ``pivots`` of a sample that point elsewhere than all before them, so that a dense cluster gets one."""
+    unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
+    chosen: list[int] = []
+    for k in range(len(sample)):
+        if len(chosen) < pivots and (not chosen or (unit[chosen] @ unit[k]).max() < cosine):
+            chosen.append(k)
+    return sample[chosen]
+
+
 class Postings:
     """Pivot inverted files of the vectors of one block."""
 
@@ -67,14 +77,14 @@ def _unpack(data: bytes, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, length: int = 96, share: float = 0.2, least: int = 400, block_rows: int = 8192, query_rows: int = 16384
+    vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, length: int = 80, share: float = 0.18, least: int = 400, block_rows: int = 8192, query_rows: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``every`` its ``k`` nearest others found.
 
     Nearness is the inner product; ties go to the smaller id; rank counts from 1. Rows with a null id, and vectors
     that are null, empty, zero or hold null or non-finite components take no part; vectors meet those of their own
     width. A query finds all candidates if there are at most ``k``. Repeated ids are candidates of their own, but none
-    of a query's own id. Pivots are the first ``pivots`` distinct vectors by a hash: the only sample. In each block of
+    of a query's own id. Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
     ``block_rows`` distinct vectors, the nearest ``share`` (and at least ``least``) by footrule are ranked exactly.
     """
     v = F.col("v")
@@ -88,11 +98,11 @@ def search(
     distinct = stage(kept.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", hashed), "ann-vectors")
     squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
     known = {r["dim"]: (r["n"], r["top"]) for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("top")).collect()}
-    ranked = distinct.select("dim", "v", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v")).alias("r")).where(F.col("r") <= pivots)
+    ranked = distinct.select("dim", "v", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v")).alias("r")).where(F.col("r") <= 2 * pivots)
     chosen: dict[int, np.ndarray] = {}
     for dim in known:
         found = [r["v"] for r in ranked.where(F.col("dim") == dim).orderBy("r").collect()]
-        chosen[dim] = lift(np.array(found, dtype=np.float64), known[dim][1])
+        chosen[dim] = apart(lift(np.array(found, dtype=np.float64), known[dim][1]), pivots)
     tops = {dim: top for dim, (_, top) in known.items()}
     count = max([n for n, _ in known.values()], default=0)
     blocks = groups_for(count, block_rows)
