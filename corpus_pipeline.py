@@ -1,13 +1,86 @@
-"""The corpus pipeline: STAGES applied to documents, each written as Parquet and read again."""
+"""The corpus pipeline: STAGES applied to documents in turn.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents; a text that a stage changes has a new n_chars.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm import ngram_join, quality_rules, secret_scan
+from quillstone.llm.packing import pack
+from quillstone.llm.queries import quality_list, secret_model, tokenizer_file
+from quillstone.llm.shared import stage
+from quillstone.llm.substring_dedup import dedup_substrings
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and the learned list keep; the list is learned from this sf_dir's labels."""
+    rules = quality_list(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.apply_rules(docs.select(COLUMNS), rules).where("kept").select(COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id.
+
+    Documents without an id can't be told apart by one, and stay. Of repeated ids in a class one stays.
+    """
+    docs = docs.select(COLUMNS)
+    found = stage(ngram_join.join(docs, width=5, similarity=0.8).where("doc_id is not null").select("doc_id", "class_id"), "pipeline-classes")
+    gone = found.where("doc_id != class_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated windows; a text that loses none stays as it is."""
+    done = dedup_substrings(docs.select(COLUMNS), window=35, with_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
+    return _changed(done.withColumn("new", text))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced; null texts stay null."""
+    done = secret_scan.scan(docs.select(COLUMNS), secret_model(spark, docs), redact=True)
+    return _changed(done.withColumn("new", F.when(F.col("text").isNotNull(), F.col("redacted"))))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids."""
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    """The columns of documents with ``new`` as text; n_chars counts anew where the text isn't the same."""
+    n = F.when(F.col("new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("new")).cast("long")
+    return docs.withColumn("n_chars", n).withColumn("text", F.col("new")).select(COLUMNS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Learned rules, model scores and ids by a tokenizer are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over this sf_dir's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stage(docs, f"pipeline-{name}")
     return docs
