@@ -1 +1,6 @@
+"""Registered queries, a module for each family."""
 
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from quillstone.plans import retrieval_queries  # noqa: F401
