@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from quillstone.plans import retrieval_queries  # noqa: F401
+    from quillstone.plans import relational_queries, retrieval_queries, string_queries  # noqa: F401
