@@ -102,9 +102,12 @@ def _keys(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=_KEY)
 
 
-def _block(sketch0: np.ndarray, keys: np.ndarray, parts: int) -> np.ndarray:
-    """Texts that share a MinHash value share blocks; ``parts`` of them, so that none grows beyond memory."""
-    return W.mix(sketch0.astype(np.uint64) * np.uint64(1 << 20) + keys["a"] % np.uint64(parts))
+def _block(sketch0: np.ndarray, keys: np.ndarray, blocks: int, parts: int) -> np.ndarray:
+    """Texts that share a MinHash value share one of ``blocks``, cut into ``parts`` so that none grows beyond memory.
+
+    A text meets at most as many blocks as there are, and as its partners have such values.
+    """
+    return W.mix(W.mix(sketch0.astype(np.uint64)) % np.uint64(blocks) * np.uint64(1 << 20) + keys["a"] % np.uint64(parts))
 
 
 def _meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,7 +115,7 @@ def _meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return W.mix(low ^ W.mix(high)).astype(np.int64)
 
 
-def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, blocks: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(meeting, key, key) of the pairs that stay, a few hundred thousand looked at a time."""
     keys = _keys(table["key"])
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(keys), -1)
@@ -120,7 +123,7 @@ def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, parts: i
     order = np.lexsort((keys["b"], keys["a"], bucket))
     start = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1) != 0)
     size = np.diff(np.append(start, len(order)))
-    block = _block(sketch[:, 0], keys, parts)
+    block = _block(sketch[:, 0], keys, blocks, parts)
     # row i of a bucket meets all after it
     last = np.repeat(start + size, size)
     partners = last - np.arange(len(order)) - 1
@@ -250,7 +253,7 @@ def join(
     copies = stage(sketch.where("key is not null").groupBy("key").agg(F.min("id").alias("copy_id"), F.min("sketch").alias("sketch")), "ngram-copies")
     count = copies.count()
     hottest = copies.groupBy(F.substring("sketch", 1, 2).alias("s")).count().agg(F.max("count")).first()[0] or 1
-    parts = groups_for(hottest, BLOCK_TEXTS)
+    blocks, parts = groups_for(count, BLOCK_TEXTS), groups_for(hottest, BLOCK_TEXTS)
     groups, buckets = groups_for(count, group_texts), groups_for(count * bands * 8, 16 << 20)
     dealt = copies.select("key", "sketch", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("grp"))
 
@@ -278,7 +281,7 @@ def join(
 
     def pairs(_key: tuple, table: pa.Table) -> pa.Table:
         meet, packed = [], []
-        for at, x, y in _bucket_pairs(table, bands, rows, least, parts):
+        for at, x, y in _bucket_pairs(table, bands, rows, least, blocks, parts):
             order = np.argsort(at, kind="stable")
             at, both = at[order], np.stack([x[order], y[order]], axis=1)
             cuts = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
