@@ -8,6 +8,7 @@ emitted as ordered Spark conditional expressions: the first rule that holds reje
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -169,7 +170,7 @@ def learn(rows: list[tuple[int, dict[str, float], bool]], precision: float = 0.9
 
     A rule stays if at least ``precision`` of what it covers is bad, on both parts, and it covers ``least`` bad rows.
     """
-    rest = [(r, b, i * 2654435761 % 3 == 0) for i, r, b in rows]
+    rest = [(r, b, zlib.crc32(str(i).encode()) % 3 == 0) for i, r, b in rows]
     rules: list[Rule] = []
     while len(rules) < most_rules:
         grow, hold = [(r, b) for r, b, p in rest if not p], [(r, b) for r, b, p in rest if p]
