@@ -183,8 +183,8 @@ def text_of(html: str | None) -> str:
 
 
 def without_anchors(md: str) -> str:
-    """In-page links to collapsed parts and panes taken out."""
-    return re.sub(r"\[([^\]]*)\]\(#(?:collapse|pane)-[^)]*\)", "", md)
+    """In-page links to collapsed parts and panes replaced by their texts."""
+    return re.sub(r"\[([^\]]*)\]\(#(?:collapse|pane)-[^)]*\)", r"\1", md)
 
 
 def allowed(url: str, allow: list[str], deny: list[str]) -> bool:

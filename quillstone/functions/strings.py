@@ -10,6 +10,18 @@ LINK = r"\[([^\]]+)\]\([^\)]+\)"
 TAX_ID = r"\b(?<!\w-)(\d-?){8}\d\b(?!\.\d)"
 UUID_PARTS = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
 HEADING = "^(#+) (.*)"
+EDD_TAB_LABEL = r"(?m)^\s*\* #+"
+EDD_EMPTY_ITEM = r"(?mU)^\s*(\w+\.|\*|\+|\-) (\w+\.|\*|\+|\-)\s*$"
+LIST_AFTER_TEXT = r"(?m)((?:^|\n)(?!\s*([-*+]|\d+\.)\s).+?)\n([ \t]*([-*+]|\d+\.)\s+)"
+INNER_ITEM = r"(?m)^ {2,3}([\-\+\*]) "
+POLICY_CLEANUP = [
+    (r"(?mU)^( *)[\*\|\-\+] (\w{1,2}+[.|)] )", "$1$2"),
+    ("~~~~", ""),
+    (r"(?m)^\*\*\*\*\n", ""),
+    (r"(?m)^--- *\n", ""),
+    (r"(?m)^ *\* \*\* *_Note_\*\*", "**_Note_**"),
+    (r"\n\n+", "\n\n"),
+]
 
 
 def join_list(parts: Column, sep: str = "\n") -> Column:
@@ -92,10 +104,77 @@ def mask_tax_ids(text: Column) -> Column:
 
 
 def edd_fixes(md: Column) -> Column:
-    """Known faults of one source's markdown put right."""
-    md = F.replace(F.replace(md, F.lit(" "), F.lit(" ")), F.lit("\r\n"), F.lit("\n"))
-    md = F.regexp_replace(md, r"(?m)^(#+) +\*\*(.+)\*\*$", "$1 $2")
-    return F.regexp_replace(md, r"(?m)[ \t]+$", "")
+    """Known faults of one source's markdown: spaced dots, sublists without a list, headings and nothing as items."""
+    md = F.replace(F.replace(md, F.lit(". . ."), F.lit("...")), F.lit("* + "), F.lit("    + "))
+    md = F.regexp_replace(md, EDD_TAB_LABEL, "")
+    return F.regexp_replace(md, EDD_EMPTY_ITEM, "")
+
+
+def list_repairs(md: Column) -> Column:
+    """A blank line before a list that follows a paragraph, and four spaces before an item of an inner list."""
+    md = F.regexp_replace(md, LIST_AFTER_TEXT, "$1\n\n$3")
+    return F.regexp_replace(md, INNER_ITEM, "    - ")
+
+
+def policy_cleanup(md: Column) -> Column:
+    """Faults of another source's markdown: bullets before numbers and notes, fences, rules, blank lines."""
+    for pattern, instead in POLICY_CLEANUP:
+        md = F.regexp_replace(md, pattern, instead)
+    return F.trim(md)
+
+
+def without_anchors(md: Column) -> Column:
+    """Links to collapsed parts and panes of the same page replaced by their texts."""
+    return F.regexp_replace(F.regexp_replace(md, r"\[(.*?)\]\(#collapse-(.*?)\)", "$1"), r"\[(.*?)\]\(#pane-(.*?)\)", "$1")
+
+
+def page_number(text: Column) -> Column:
+    """The page in "n of m"."""
+    return F.nullif(F.regexp_extract(text, "^([0-9]+) of ([0-9]+)$", 1), F.lit(""))
+
+
+def header_date(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, "([0-9]+-[0-9]+-[0-9]+)", 1), F.lit(""))
+
+
+def section_number(text: Column, name: str = "BEM") -> Column:
+    return F.nullif(F.regexp_extract(text, f"^{name} ([0-9]+)$", 1), F.lit(""))
+
+
+def shortened(text: Column, limit: int, most_lines: int = 2, mark: str = "...") -> Column:
+    """The first lines, whole words of them within ``limit``, with a mark where words were left out."""
+
+    def short(line: Column, room: Column) -> Column:
+        plain = F.trim(F.regexp_replace(line, r"\s+", " "))
+        head = F.regexp_extract(F.substring(plain, F.lit(1), room - len(mark) + 1), r"^(.*)\s", 1)
+        return F.when(F.length(plain) <= room, plain).otherwise(F.concat(F.rtrim(head), F.lit(mark)))
+
+    lines = F.slice(F.split(text, "\r\n|\n|\r"), 1, most_lines)
+    start = F.struct(F.lit(limit).alias("room"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        made = short(line, acc["room"])
+        go = (acc["room"] >= len(mark)) | (F.size(acc["out"]) == 0)
+        return F.struct(F.when(go, acc["room"] - F.length(made)).otherwise(acc["room"]).alias("room"), F.when(go, F.concat(acc["out"], F.array(made))).otherwise(acc["out"]).alias("out"))
+
+    return F.array_join(F.aggregate(lines, start, step, lambda acc: acc["out"]), "\n")
+
+
+def thread_link(base: str, *ids: Column) -> Column:
+    return F.concat_ws("/", F.lit(base.rstrip("/")), *ids)
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+def with_extension(path: Column, extension: str) -> Column:
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(extension))
+
+
+def bucket_and_key(url: Column) -> Column:
+    """(bucket, key) of a store's url."""
+    return F.struct(F.parse_url(url, F.lit("HOST")).alias("bucket"), F.regexp_replace(F.parse_url(url, F.lit("PATH")), "^/", "").alias("key"))
 
 
 def breadcrumb(headings: Column, doc_name: Column) -> Column:

@@ -171,3 +171,27 @@ def test_queries_are_registered_with_oracles():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
     assert len(queries) >= 80
+
+
+def test_prompts_and_routes(spark):
+    from quillstone.operators import conversations as C
+
+    rows = spark.createDataFrame([("q", "ctx", [("user", "a")]), ("r", None, None)], "q string, c string, h array<struct<role:string,content:string>>")
+    got = [[tuple(m) for m in r["m"]] for r in rows.select(C.messages(F.lit("s"), F.col("q"), F.col("c"), F.col("h")).alias("m")).collect()]
+    assert got == [[("system", "s"), ("system", C.CONTEXT + "ctx"), ("user", "a"), ("user", "q")], [("system", "s"), ("user", "r")]]
+    with pytest.raises(ValueError, match="engine"):
+        C.settings(rows, {}, "x", ["y"])
+
+
+def test_batch_answers_keep_order_and_errors(spark):
+    from quillstone.operators import conversations as C
+
+    def engine(question):
+        if question == "bad":
+            raise RuntimeError("no")
+        return {"answer": question.upper(), "citations": [{"name": "n", "headings": None, "source": "s", "text": "t"}] if question == "a" else [], "attributes": {"k": 1}}
+
+    rows = C.wide(C.batch_answers(spark.createDataFrame([(0, "a"), (1, "bad"), (2, "c")], "pos long, question string"), engine)).collect()
+    assert [r["answer"] for r in rows] == ["A", "Error processing question: no", "C"]
+    assert [r["citation_1_name"] for r in rows] == ["n", "", ""]
+    assert [r["attrib__k"] for r in rows] == ["1", "", ""]
