@@ -87,7 +87,7 @@ def test_known_faults_of_sources(spark):
     assert one(spark, S.edd_fixes(F.col("t")), t="a. . .b\n* + New\n* ### Tab\n* +\n4. * \nx") == "a...b\n    + New\n Tab\n\n\nx"
     assert one(spark, S.list_repairs(F.col("t")), t="Text:\n- a\n  - b") == "Text:\n\n- a\n    - b"
     assert one(spark, S.without_anchors(F.col("t")), t="[a](#collapse-1) [b](#pane-x) [c](d)") == "a b [c](d)"
-    assert one(spark, S.shortened(F.col("t"), 20), t="one two three four five six\nsecond line") == "one two three..."
+    assert one(spark, S.shortened(F.col("t"), 20), t="one two three four five six\nsecond line") == "one two three...\n..."
     assert one(spark, S.shortened(F.col("t"), 30), t="short\nsecond\nthird") == "short\nsecond"
     assert one(spark, S.page_number(F.col("t")), t="3 of 12") == "3"
     assert one(spark, S.page_number(F.col("t")), t="three") is None
