@@ -112,7 +112,10 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(found, r"([.?!])  +", "$1 ").alias("moved"))
 
 
-@register("d05_grouped_texts")
+@register("d05_grouped_texts", """
+    WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT conv_id AS doc_id, array_to_string(list(CASE WHEN n = 1 THEN '' WHEN role = 'user' THEN chr(10) ELSE chr(10) || chr(10) END || text ORDER BY turn), '') AS text,
+           CASE WHEN bool_or(role <> 'user') THEN 'NarrativeText' ELSE 'ListItem' END AS type, 'talk' AS headings, 1 AS page FROM t GROUP BY conv_id""")
 def grouped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as the texts of a document: users' are list items under one heading."""
     c = table(spark, sf_dir, "conversations")
@@ -126,3 +129,39 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.functions.strings import mock_embedding
 
     return page_chunks(spark, sf_dir).select("page_id", "split_index", F.slice(mock_embedding(F.col("text_to_encode"), 4), 1, 2).alias("embedding"))
+
+
+@register("e07_generated_pairs", """
+    SELECT doc_id AS chunk_id, 'What of ' || source || '?' AS question, 'It is in ' || lang || '.' AS answer FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND lang <> 'de'""")
+def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stub generator, which fails on German."""
+
+    def stub(content: str) -> dict | None:
+        source, lang = content.split("|")
+        return {"question": f"What of {source}?", "answer": f"It is in {lang}."} if lang != "de" else None
+
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.length("text") > 0))
+    return D.generate_pairs(d.select(F.col("doc_id").alias("chunk_id"), F.concat_ws("|", "source", "lang").alias("content")), stub)
+
+
+@register("j09_d01_style_matches", """
+    WITH s AS (SELECT conv_id, turn, role, text FROM conversations)
+    SELECT a.conv_id AS page, a.turn AS style_turn, b.turn AS text_turn FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.role = b.role
+    WHERE contains(b.text || ' end', a.text) AND abs(length(b.text || ' end') - length(a.text)) < 10""")
+def style_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as styles, and with a few more letters as the texts that hold them: keys first, containment on what is left."""
+    c = table(spark, sf_dir, "conversations")
+    styles = c.select(F.struct("conv_id", "turn").alias("style_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.col("text").alias("wider_text"))
+    texts = c.select(F.struct("conv_id", "turn").alias("text_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.concat("text", F.lit(" end")).alias("text"))
+    matched, _ = D.match_styles(styles, texts)
+    return matched.select(F.col("style_id.conv_id").alias("page"), F.col("style_id.turn").alias("style_turn"), F.col("text_id.turn").alias("text_turn"))
+
+
+@register("u06_unmatched_styles", "SELECT conv_id AS page, turn AS style_turn FROM conversations WHERE length(text) = 0 AND false")
+def unmatched_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same styles, those that no text holds: none."""
+    c = table(spark, sf_dir, "conversations")
+    styles = c.select(F.struct("conv_id", "turn").alias("style_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.col("text").alias("wider_text"))
+    texts = c.select(F.struct("conv_id", "turn").alias("text_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.concat("text", F.lit(" end")).alias("text"))
+    _, left = D.match_styles(styles, texts)
+    return left.select(F.col("style_id.conv_id").alias("page"), F.col("style_id.turn").alias("style_turn"))
