@@ -5,7 +5,7 @@ left and a right name get a new name, a fingerprint of what they consist of; a s
 right anew in each round. Names thus agree over the whole corpus without a dictionary. Whether a symbol arises at a
 place depends only on the words around it (its reach), so two equal word sequences hold the same symbols wherever
 the reach lies inside them. A window that holds a symbol which occurs once in the corpus, reach and all, is thereby
-shown to be unique. All other windows are verified: their 128-bit fingerprints are counted over the corpus.
+shown to be unique. All other windows are verified: their 96-bit fingerprints are counted over the corpus.
 
 Three steps over groups of documents, each followed by one count of packed fingerprints: symbols, candidate windows,
 removal. Only documents with candidates reach the third.
@@ -27,13 +27,14 @@ from quillstone.llm import global_counts as G
 from quillstone.llm import words as W
 from quillstone.llm.shared import groups_for, stage, text_bytes
 
+TELLING = 3
 FAR = np.int64(1) << np.int64(40)  # a reach that leaves its document
 _RUN, _LEFT, _RIGHT = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
 def compress(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the symbols after ``rounds``, their first words, and where the reach of each begins and ends."""
-    n = len(names)
+    """Names of the symbols after ``rounds``, their lengths in words, and where the reach of each begins and ends."""
+    n = whole = len(names)
     start = np.arange(n, dtype=np.int64)
     left, right = start.copy(), start + 1
     for r in range(rounds):
@@ -63,7 +64,7 @@ def compress(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarra
         left, right = before[at[k]], after[tail[end]]
         start, doc, names = start[at[k]], doc[at[k]], made
         n = len(names)
-    return names, start, left, right
+    return names, np.diff(np.append(start, whole)), left, right
 
 
 class Batch:
@@ -77,10 +78,13 @@ class Batch:
         self.window, self.rounds = window, rounds
 
     def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Names and reaches of the symbols that lie, reach and all, within some window."""
+        """Names and reaches of the symbols that lie, reach and all, within some window.
+
+        Symbols of one or two words are shared too often to tell anything; equal symbols have equal lengths.
+        """
         doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        names, _, left, right = compress(self.h, doc, self.rounds)
-        ok = right - left <= self.window
+        names, length, left, right = compress(self.h, doc, self.rounds)
+        ok = (right - left <= self.window) & (length >= TELLING)
         return names[ok], left[ok], right[ok]
 
     def candidates(self, answers: pa.Table, buckets: int) -> np.ndarray:
@@ -157,7 +161,8 @@ def dedup_substrings(
         names, _, _ = Batch(table[text], window, rounds).symbols()
         return G.sent_table(G.Distinct(names, None, buckets).rows(key[0].as_py()))
 
-    shared = G.shared(named.select("grp", text).groupBy("grp").applyInArrow(symbols, G.SENT))
+    # the same columns as below, so that both steps read one shuffle of the documents
+    shared = G.shared(named.groupBy("grp").applyInArrow(symbols, G.SENT))
 
     # one table for the three kinds of row of the second step: done, pending, sent
     sent = T.StructType([T.StructField("bucket", T.LongType())] + [T.StructField(c, T.BinaryType()) for c in ("lo", "hi", "multi")])
@@ -178,7 +183,7 @@ def dedup_substrings(
             if pending[k]:
                 n_words.append(None)
                 kept.append(None)
-                starts.append((at[cuts[k] : cuts[k + 1]] - batch.first[k]).astype(np.int64).tobytes())
+                starts.append(_runs(at[cuts[k] : cuts[k + 1]] - batch.first[k]))
             else:
                 n, _, joined = batch.kept(k, None)
                 n_words.append(n)
@@ -204,7 +209,7 @@ def dedup_substrings(
 
     def remove(_key, table: pa.Table, answers: pa.Table) -> pa.Table:
         batch = Batch(table[text], window, 1)
-        starts = [np.frombuffer(x, np.int64) for x in table["at"].to_pylist()]
+        starts = [_unrun(x) for x in table["at"].to_pylist()]
         at = np.concatenate([x + batch.first[k] for k, x in enumerate(starts)]) if starts else np.zeros(0, np.int64)
         lo, hi = batch.fingerprints(at)
         hit = G.Distinct(lo, hi, buckets).shared(answers)
@@ -227,6 +232,18 @@ def dedup_substrings(
     return both.select(*out)
 
 
+def _runs(at: np.ndarray) -> bytes:
+    """Rising numbers as (first, count) of the runs in which they follow each other."""
+    first = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+    return np.stack([at[first], np.diff(np.append(first, len(at)))], axis=1).astype(np.int64).tobytes()
+
+
+def _unrun(data: bytes) -> np.ndarray:
+    runs = np.frombuffer(data, np.int64).reshape(-1, 2)
+    skip = runs[:, 0] - np.concatenate(([0], np.cumsum(runs[:, 1])[:-1]))
+    return np.arange(int(runs[:, 1].sum())) + np.repeat(skip, runs[:, 1])
+
+
 def _as(column, kind: pa.DataType):
     column = column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column])
     return column if column.type == kind else column.cast(kind)
