@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts by the tokenizers library.
 
 The vocabulary's pre-tokeniser never joins what stands before a space to the space, if a non-space follows it. Such
-texts are encoded word by word and the ids of words are kept; any other text is encoded whole.
+texts are encoded word by word and the ids of words are kept; any other text is encoded whole. New words are cut by
+the pre-tokeniser's pattern, and the library's model encodes their new parts.
 """
 
 from __future__ import annotations
@@ -11,9 +12,19 @@ import re
 import struct
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
-#: Kept words for each Python worker.
-KEEP = 600_000
+import numpy as np
+import regex
+
+#: Kept words, and kept parts, for each Python worker.
+KEEP = 1_200_000
+PACK = [struct.Struct(f"<{n}I") for n in range(24)]
+#: Fixed value: the published pattern of the pre-tokeniser of this family of vocabularies, white space as Unicode has it
+#: (Python's own takes a few control characters for it).
+PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
+MARKS = ",.:;!?)"
 _LOOSE = re.compile(r" (?:\s|\Z)")
 
 
@@ -25,15 +36,62 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.after: dict[str, bytes] = {}  # words after a space
         self.first: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the vocabulary shows bytes as characters: printable ones as they are, the others from 256 on
+        as_is = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in as_is]
+        self.shown = {b: chr(b) for b in as_is} | {b: chr(256 + n) for n, b in enumerate(others)}
+        self.space = self.shown[32]
+        self.marks = dict(zip(MARKS, self._whole(list(MARKS)), strict=True))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model(self, parts: Iterable[str]) -> list[bytes]:
+        """Ids of parts that the pattern has cut, by the library's model alone: each byte is a character to it."""
+        tokenize, shown = self.tokenizer.model.tokenize, self.shown
+        out = []
+        for p in parts:
+            if not p.isascii() or not p.isprintable() or p.isspace():
+                p = p.encode().decode("latin-1").translate(shown)
+            elif p[0] == " ":
+                p = self.space + p[1:]
+            ids = [t.id for t in tokenize(p)]
+            out.append(PACK[len(ids)].pack(*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+    def _learn(self, kept: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Words of any kind: their parts by the pattern."""
+        cut = {w: [lead + w] if any(s in w for s in self.special) else PATTERN.findall(lead + w) for w in words}
+        if len(self.parts) > KEEP // 2:
+            self.parts.clear()
+        new = set().union(*cut.values()).difference(self.parts)
+        odd = [p for p in new if any(s in p for s in self.special)]
+        plain = list(new.difference(odd))
+        self.parts.update(zip(plain, self._model(plain), strict=True))
+        if odd:
+            self.parts.update(zip(odd, self._whole(odd), strict=True))
+        ids = self.parts
+        kept.update((w, b"".join([ids[p] for p in parts])) for w, parts in cut.items())
 
-    def _learn(self, kept: dict[str, bytes], words: Iterable[str], lead: str) -> None:
-        new = list({w for w in words if w not in kept})
-        if new:
-            kept.update(zip(new, self._ids([lead + w for w in new]), strict=True))
+    def _learn_after(self, words: set[str]) -> None:
+        """Words after a space: letters, or letters and one mark, are one part, or that and the mark."""
+        kept = self.after
+        letters, marked, other = set(), [], set()
+        for w in words:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                other.add(w)
+        letters.update(w for x in marked if (w := x[:-1]) not in kept)
+        kept.update(zip(letters, self._model([" " + w for w in letters]), strict=True))
+        marks = self.marks
+        kept.update([(w, kept[w[:-1]] + marks[w[-1]]) for w in marked])
+        if other:
+            self._learn(kept, other, " ")
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty and has none."""
@@ -41,18 +99,25 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         loose = [k for k, t in enumerate(texts) if _LOOSE.search(t)]
         if loose:
-            for k, ids in zip(loose, self._ids([texts[k] for k in loose]), strict=True):
+            for k, ids in zip(loose, self._whole([texts[k] for k in loose]), strict=True):
                 out[k] = ids
         skip = set(loose)
         for kept in (self.after, self.first):
             if len(kept) > KEEP:
                 kept.clear()
-        split = {k: t.split(" ") for k, t in enumerate(texts) if t and k not in skip}
-        self._learn(self.first, (words[0] for words in split.values()), "")
-        self._learn(self.after, (w for words in split.values() for w in words[1:]), " ")
-        after = self.after.__getitem__
-        for k, words in split.items():
-            out[k] = b"".join([self.first[words[0]], *map(after, words[1:])])
+        texts = {k: t.split(" ") for k, t in enumerate(texts) if t and k not in skip}
+        heads = {k: words.pop(0) for k, words in texts.items()}
+        self._learn(self.first, set(heads.values()).difference(self.first), "")
+        after = self.after.get
+        found = {k: list(map(after, words)) for k, words in texts.items()}
+        lacking = {k: list(compress(words, map(is_, found[k], repeat(None)))) for k, words in texts.items() if None in found[k]}
+        if lacking:
+            self._learn_after(set().union(*lacking.values()))
+            for k, new in lacking.items():
+                new = map(self.after.__getitem__, new)
+                found[k] = [ids if ids is not None else next(new) for ids in found[k]]
+        for k, ids in found.items():
+            out[k] = self.first[heads[k]] + b"".join(ids)
         return out
 
 
