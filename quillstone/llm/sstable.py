@@ -173,7 +173,7 @@ class Reader:
 
 
 def write(
-    docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 32 << 20, width: int = 2
+    docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 32 << 20
 ) -> list[tuple[str, int, int]]:
     """Encode every text, append ``end_id``, write shards in order of the keys; (file, documents, ids) in that order.
 
@@ -188,6 +188,7 @@ def write(
         raise TypeError("keys are integers or strings")
     _, n_bytes = text_bytes(plain, "text")
     end = int(end_id).to_bytes(4, "little")
+    width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, writer = encoder(tokenizer), None, None
