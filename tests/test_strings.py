@@ -91,3 +91,9 @@ def test_known_faults_of_sources(spark):
     assert one(spark, S.shortened(F.col("t"), 30), t="short\nsecond\nthird") == "short\nsecond"
     assert one(spark, S.page_number(F.col("t")), t="3 of 12") == "3"
     assert one(spark, S.page_number(F.col("t")), t="three") is None
+
+
+def test_null_and_empty_inputs(spark):
+    rows = spark.createDataFrame([(None,), ("",)], "t string")
+    got = rows.select(S.mask_tax_ids(F.col("t")).alias("m"), S.remove_links(F.col("t")).alias("l"), S.join_list(F.split("t", "x")).alias("j"), S.first_line(F.col("t")).alias("f")).collect()
+    assert [tuple(r) for r in got] == [(None, None, "", None), ("", "", "", "")]
