@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and the learned list keep; the list is learned from this sf_dir's labels."""
     rules = quality_list(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules.apply_rules(docs.select(COLUMNS), rules).where("kept").select(COLUMNS)
+    return quality_rules.keep(docs.select(COLUMNS), rules).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
