@@ -73,9 +73,10 @@ def samples(spark: SparkSession, docs: DataFrame | None, rows: int, id_col: str
     fixed = spark.createDataFrame([(v,) for v in ORDINARY], "value string")
     ordinary = fixed
     if docs is not None:
-        first = (
-            docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(rows)
-        )
+        # ids alone are sorted; the texts of the first are then looked up, so no task gathers texts of all others
+        texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        chosen = texts.select("id").where("id is not null").orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(rows).distinct()
+        first = texts.join(F.broadcast(chosen), "id").where("text is not null").dropDuplicates(["id"])
         words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.length(w).between(2, 16))
         first = first.select(words.alias("w")).where(F.size("w") >= 6)
         at = F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)
