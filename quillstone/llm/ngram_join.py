@@ -116,7 +116,7 @@ def _meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, blocks: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(meeting, key, key) of the pairs that stay, a few hundred thousand looked at a time."""
+    """(meeting, key, key) of the pairs that stay, some ten thousand looked at a time."""
     keys = _keys(table["key"])
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(keys), -1)
     band, bucket = np.asarray(table["band"]), np.asarray(table["bandkey"])
@@ -131,12 +131,12 @@ def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, blocks:
     at = 0
     while at < len(order):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + 200_000, side="right")))
-        for lo in range(0, int(ends[to - 1] - done), 400_000):  # one row may have more partners than that
+        to = max(at + 1, int(np.searchsorted(ends, done + 40_000, side="right")))
+        for lo in range(0, int(ends[to - 1] - done), 80_000):  # one row may have more partners than that
             n = partners[at:to]
             total = int(n.sum())
-            i = np.repeat(np.arange(at, to), n)[lo : lo + 400_000]
-            j = i + 1 + (np.arange(total) - np.repeat(np.cumsum(n) - n, n))[lo : lo + 400_000]
+            i = np.repeat(np.arange(at, to), n)[lo : lo + 80_000]
+            j = i + 1 + (np.arange(total) - np.repeat(np.cumsum(n) - n, n))[lo : lo + 80_000]
             x, y = order[i], order[j]
             same = sketch[x] == sketch[y]
             ok = same.mean(axis=1) >= least

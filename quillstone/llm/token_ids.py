@@ -19,7 +19,7 @@ import numpy as np
 import regex
 
 #: Kept words, and kept parts, for each Python worker.
-KEEP = 1_200_000
+KEEP = 600_000
 PACK = [struct.Struct(f"<{n}I") for n in range(24)]
 #: Fixed value: the published pattern of the pre-tokeniser of this family of vocabularies, white space as Unicode has it
 #: (Python's own takes a few control characters for it).
