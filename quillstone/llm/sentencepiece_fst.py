@@ -20,6 +20,8 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import ahocorasick
 import numpy as np
@@ -31,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Kept units for each Python worker, and pairs of pieces.
-KEEP_UNITS, KEEP_PAIRS = 600_000, 2_000_000
+KEEP_UNITS, KEEP_PAIRS = 900_000, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -211,20 +213,47 @@ class Transducer:
         kept.update(zip(new, self._paths(new), strict=True))
         return [kept[parts[0]] if len(parts) == 1 else b"".join([kept[p] for p in parts]) for parts in cut]
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers; null counts as empty and has none."""
-        split = [self._split(t or "") for t in texts]
+    def _learn(self, tokens: set[str]) -> None:
+        """Ids of tokens as ``encode`` cuts them: a word after a mark, or a line break and what follows it without one."""
         kept = self.units
-        kept["\n"] = self.line
-        new = list({u for units in split for u in units if u not in kept})
-        if len(kept) + len(new) > KEEP_UNITS:
-            kept.clear()
-            kept["\n"] = self.line
-            new = list({u for units in split for u in units if u != "\n"})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            kept.update(zip(part, self._encode_units(part), strict=True))
-        return [b"".join([kept[u] for u in units]) for units in split]
+        bare = {t: t[1:] if t[:1] == "\n" else MARK + t for t in tokens}
+        units = [u for u in bare.values() if u]
+        found: dict[str, bytes] = {"": b""}
+        for k in range(0, len(units), 20_000):
+            part = units[k : k + 20_000]
+            found.update(zip(part, self._encode_units(part), strict=True))
+        kept.update((t, self.line + found[u] if t[:1] == "\n" else found[u]) for t, u in bare.items())
+
+    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; null counts as empty and has none.
+
+        Where no two marks can meet, one cut at spaces gives the units: each follows a mark, or a line break.
+        """
+        texts = [t or "" for t in texts]
+        out = [b""] * len(texts)
+        if len(self.units) > KEEP_UNITS:
+            self.units.clear()
+        tokens: dict[int, list[str]] = {}
+        for k, t in enumerate(texts):
+            if not t:
+                continue
+            if self.prefix and MARK not in t and "  " not in t and t[0] != " ":
+                tokens[k] = t.replace("\n", " \n").split(" ")
+            else:
+                units = self._split(t)
+                known = dict(zip(new := list({u for u in units if u != "\n"}), self._encode_units(new), strict=True)) | {"\n": self.line}
+                out[k] = b"".join([known[u] for u in units])
+        kept = self.units.get
+        found = {k: list(map(kept, ts)) for k, ts in tokens.items()}
+        lacking = {k: list(compress(ts, map(is_, found[k], repeat(None)))) for k, ts in tokens.items() if None in found[k]}
+        if lacking:
+            self._learn(set().union(*lacking.values()))
+            for k, ts in lacking.items():
+                new = map(self.units.__getitem__, ts)
+                found[k] = [ids if ids is not None else next(new) for ids in found[k]]
+        for k, ids in found.items():
+            out[k] = b"".join(ids)
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; the dummy prefix goes."""
