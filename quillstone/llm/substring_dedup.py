@@ -134,7 +134,7 @@ RESULT = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, rounds: int = 4, group_bytes: int = 8 << 20, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, rounds: int = 4, group_bytes: int = 4 << 20, with_text: bool = False
 ) -> DataFrame:
     """The columns of ``docs`` with n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
@@ -149,7 +149,7 @@ def dedup_substrings(
     docs = docs.drop(*clash)
     carried = list(docs.columns)
     _, n_bytes = text_bytes(docs, text_col)
-    groups, buckets = groups_for(n_bytes, group_bytes), groups_for(n_bytes, 3 * group_bytes)
+    groups, buckets = groups_for(n_bytes, group_bytes), groups_for(n_bytes, 6 * group_bytes)
     # neutral names inside: whatever the columns are called, nothing clashes
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)])
     text = f"c{carried.index(text_col)}"
