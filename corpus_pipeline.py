@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(COLUMNS)
     found = stage(ngram_join.join(docs, width=5, similarity=0.8).where("doc_id is not null").select("doc_id", "class_id"), "pipeline-classes")
     gone = found.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

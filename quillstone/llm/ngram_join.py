@@ -299,7 +299,8 @@ def join(
     wanted = stage(met.groupBy("meet").applyInArrow(who, "meet long, key binary"), "ngram-meetings")
     # one text for each key: ids are enough to find it, and the key is computed again to be sure
     chosen = copies.join(wanted.select("key").distinct(), "key").select(F.col("key").alias("want"), F.col("copy_id").alias("id"))
-    texts = plain.join(chosen, plain["id"].eqNullSafe(chosen["id"])).select("want", "text")
+    # a merge join at every size: which texts have partners grows with the corpus
+    texts = plain.join(chosen.hint("merge"), plain["id"].eqNullSafe(chosen["id"])).select("want", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
