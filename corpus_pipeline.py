@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join, quality_rules, secret_scan
@@ -29,15 +29,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id.
 
-    Documents without an id can't be told apart by one, and stay. Of repeated ids in a class one stays.
+    Documents without an id can't be told apart by one, and stay. Where ids repeat, an id's different texts are
+    documents of their own, each decided by its own class, and of repeated rows (same id, same text) one stays.
     """
     docs = docs.select(COLUMNS)
-    found = stage(ngram_join.join(docs, width=5, similarity=0.8).where("doc_id is not null").select("doc_id", "class_id"), "pipeline-classes")
-    gone = found.where("doc_id != class_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(COLUMNS)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.join(_gone(docs, "doc_id").hint("merge"), "doc_id", "left_anti").select(COLUMNS)
+    keyed = docs.withColumn("row_key", _row_key())
+    kept = keyed.join(_gone(keyed, "row_key").hint("merge"), "row_key", "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["row_key"]).unionByName(kept.where("doc_id is null")).select(COLUMNS)
+
+
+def _gone(docs: DataFrame, key: str) -> DataFrame:
+    """Keys that aren't the least of their class."""
+    found = ngram_join.join(docs, id_col=key, width=5, similarity=0.8).where(f"{key} is not null").select(key, "class_id")
+    return stage(found, "pipeline-classes").where(f"{key} != class_id").select(key).distinct()
+
+
+def _row_key() -> Column:
+    """A key of id and text that sorts as the ids do; null where the id is. Ids of either sign are 16 hex digits."""
+    id_ = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(id_, F.coalesce(F.md5("text"), F.lit("")))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,12 @@ def test_kept_rows_are_the_verdict_s(spark, folder):
     rules = [(quality_rules.Condition("symbols_per_word", True, 0.5),)]
     want = sorted(str(r["doc_id"]) for r in quality_rules.apply_rules(docs, rules).collect() if r["kept"])
     assert sorted(str(r["doc_id"]) for r in quality_rules.keep(docs, rules).collect()) == want
+
+
+def test_repeated_ids_with_different_texts(spark, folder):
+    place, rows = folder
+    a, b, c, d = (next(t for k, t, *_ in rows if k == n) for n in (1, 2, 3, 4))
+    given = [(3, b), (5, b + " tail"), (5, a), (7, c), (7, d), (-2, c + " end"), (9, None), (9, None), (9, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in given], DOC)
+    got = Counter((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, place).collect())
+    assert got == Counter([(3, b), (5, a), (7, d), (-2, c + " end"), (9, None), (9, ""), (None, a), (None, a)])
