@@ -83,14 +83,14 @@ def search(
 
     Nearness is the inner product; ties go to the smaller id; rank counts from 1. Rows with a null id, and vectors
     that are null, empty, zero or hold null or non-finite components take no part; vectors meet those of their own
-    width. A query finds all candidates if there are at most ``k``. Repeated ids are candidates of their own, but none
-    of a query's own id. Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
+    width. A query finds all candidates if there are at most ``k``. Repeated rows (same id, same vector) count once, as
+    queries and as candidates; an id's other vectors are candidates of their own, but none of a query's own id. Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
     ``block_rows`` distinct vectors, the nearest ``share`` (and at least ``least``) by footrule are ranked exactly.
     """
     v = F.col("v")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine).withColumn("dim", F.size("v"))
+    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(fine).withColumn("dim", F.size("v")).distinct()
     # of equal vectors the k + 1 least ids are all that any query can need
     first = Window.partitionBy("dim", "v").orderBy("id")
     kept = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)

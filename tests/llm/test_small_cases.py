@@ -381,3 +381,19 @@ def test_nearest_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r["rank"], r["vec_id"]) for r in permutation_index.search(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert permutation_index.search(few.where("false")).count() == 0
+
+
+def test_repeated_rows_are_asked_and_found_once(spark):
+    x = np.random.default_rng(5).normal(size=(60, 8))
+    rows = [(k, x[k].tolist()) for k in range(60)]
+    # a query's row repeated, neighbours repeated, and an id repeated more than k times beside others of its vector
+    rows += [rows[0]] * 3 + [rows[7]] * 5 + [(20, rows[20][1])] * 30 + [(k, rows[20][1]) for k in (100, 101)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in permutation_index.search(table, k=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"]))
+    vectors = {k: np.array(v) for k, v in rows}
+    assert set(found) == {0, 20, 40, 100}
+    for q, got in found.items():
+        score = {k: float(np.cumsum(v * vectors[q])[-1]) for k, v in vectors.items() if k != q}
+        assert got == list(enumerate(sorted(score, key=lambda k: (-score[k], k))[:5], 1))
