@@ -106,17 +106,31 @@ def flatten_schema(rows: DataFrame, sep: str = "_") -> DataFrame:
 
 
 def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, broadcast_bytes: int = 8 << 20, start: int = 16) -> DataFrame:
-    """Pairs in which a text holds a passage.
+    """Pairs in which a text holds a passage, one for each pair of rows; repeated rows are rows of their own.
 
     Passages of at most ``broadcast_bytes`` go to every task. Beyond that, the first ``start`` characters of a passage
-    are a key, and every place of a text offers one: an equi-join, and then the comparison. Shorter passages than
-    that always go to every task, as there can only be few different ones.
+    are a key, and every place of a text offers one: an equi-join, and then the comparison. Shorter passages go to
+    every task if they are within that bound; beyond it each is its own key, with places of its length.
     """
-    size = passages.agg(F.coalesce(F.sum(F.octet_length(passage)), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
+    if _row_bytes(passages, passage) <= broadcast_bytes:
         return texts.join(F.broadcast(passages), F.contains(F.col(text), F.col(passage)))
-    short, long = passages.where(F.length(passage) < start), passages.where(F.length(passage) >= start)
-    keyed = long.withColumn("_k", F.substring(passage, 1, start))
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - start + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(start))))
-    by_key = texts.withColumn("_k", F.explode(places)).join(keyed, "_k").where(F.contains(F.col(text), F.col(passage))).drop("_k").distinct()
-    return by_key.unionByName(texts.join(F.broadcast(short.distinct()), F.contains(F.col(text), F.col(passage))))
+    n = F.length(passage)
+    by_key = _by_places(texts, text, passages.where(n >= start).withColumn("_k", F.substring(passage, 1, start)), passage, [start])
+    short = passages.where(n < start)
+    if _row_bytes(short, passage) <= broadcast_bytes:
+        return by_key.unionByName(texts.join(F.broadcast(short), F.contains(F.col(text), F.col(passage))))
+    sizes = sorted(r["n"] for r in short.where(n > 0).select(n.alias("n")).distinct().collect())  # fewer than start
+    found = by_key.unionByName(texts.where(F.col(text).isNotNull()).crossJoin(short.where(n == 0)))  # every text holds the empty one
+    return found.unionByName(_by_places(texts, text, short.where(n > 0).withColumn("_k", F.col(passage)), passage, sizes)) if sizes else found
+
+
+def _row_bytes(rows: DataFrame, text: str, row: int = 16) -> int:
+    """UTF-8 bytes of a text column, and ``row`` for each row, so that many empty texts count as well."""
+    return rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + row), F.lit(0))).first()[0]
+
+
+def _by_places(texts: DataFrame, text: str, keyed: DataFrame, passage: str, sizes: list[int]) -> DataFrame:
+    """Pairs by the key ``_k`` of a passage, which is as long as one of ``sizes``: each text has a place's key once."""
+    of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(size)))
+    places = F.array_distinct(F.concat(*[of(size) for size in sizes]))
+    return texts.withColumn("_k", F.explode(places)).join(keyed, "_k").where(F.contains(F.col(text), F.col(passage))).drop("_k")

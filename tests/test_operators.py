@@ -195,3 +195,13 @@ def test_batch_answers_keep_order_and_errors(spark):
     assert [r["answer"] for r in rows] == ["A", "Error processing question: no", "C"]
     assert [r["citation_1_name"] for r in rows] == ["n", "", ""]
     assert [r["attrib__k"] for r in rows] == ["1", "", ""]
+
+
+def test_containment_keeps_repeated_rows_on_every_path(spark):
+    said = ["one lorem ipsum dolor sit amet 3", "ab", "ab", "", None, "a a a lorem ipsum dolor sit amet 3"]
+    held = ["lorem ipsum dolor sit", "lorem ipsum dolor sit", "a", "a", "ab", "", "", None, "amet 3", "b ", "absent passage of text"]
+    texts = spark.createDataFrame([(t,) for t in said], "t string")
+    passages = spark.createDataFrame([(b,) for b in held], "b string")
+    want = sorted((t, b) for t in said for b in held if t is not None and b is not None and b in t)
+    for most in (8 << 20, 250, 0):  # all sent, the short ones sent, none sent
+        assert sorted(tuple(r) for r in R.containing(texts, "t", passages, "b", broadcast_bytes=most).collect()) == want
