@@ -133,12 +133,13 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e08_batch_answers", """SELECT conv_id AS pos, text AS question, 'about ' || length(text) AS answer, 'Doc' AS citation_1_name, 'A > B' AS citation_1_headings, 'src' AS citation_1_source, 'cited' AS citation_1_text, '1' AS attrib__n FROM conversations WHERE turn = 0""")
 def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("pos"), F.col("text").alias("question"))
+    """Every user turn's question, in the order of conversations and turns."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("pos"), F.col("text").alias("question"))
 
     def engine(question: str) -> dict:
         return {"answer": f"about {len(question)}", "citations": [{"name": "Doc", "headings": ["A", "B"], "source": "src", "text": "cited"}], "attributes": {"n": 1}}
 
-    return C.wide(C.batch_answers(asked, engine))
+    return C.wide(C.batch_answers(asked, engine)).select("pos.*", "*").drop("pos")
 
 
 @register("j15_zipped_lists", "SELECT label, unnest(list(vec_id ORDER BY vec_id)) AS vec_id, unnest(list(md5(vec_id::VARCHAR) ORDER BY vec_id)) AS hash FROM embeddings GROUP BY label")

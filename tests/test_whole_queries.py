@@ -14,3 +14,13 @@ def test_simple_lists_hold_every_id(spark, tmp_path):
         ids[label].append(str(k))
     want = {label: v[0] if len(v) == 1 else f"[{', '.join(v)}]" for label, v in ids.items()}
     assert {r["label"]: r["items"] for r in entry.queries()["f25_simple_list"](spark, place).collect()} == want
+
+
+def test_batch_answers_of_every_user_turn(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    rows = [(k, turn, "user" if turn % 2 == 0 else "assistant", f"text {k} of {turn}" + "!" * turn) for k in (2, 10, 1) for turn in range(5)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{place}/conversations.parquet")
+    got = entry.queries()["e08_batch_answers"](spark, place).collect()
+    want = sorted((k, turn, text, f"about {len(text)}") for k, turn, role, text in rows if role == "user")
+    assert [(r["conv_id"], r["turn"], r["question"], r["answer"]) for r in got] == want
+    assert {(r["citation_1_name"], r["citation_1_headings"], r["citation_1_source"], r["citation_1_text"], r["attrib__n"]) for r in got} == {("Doc", "A > B", "src", "cited", "1")}
