@@ -161,13 +161,24 @@ def third_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 3)[0]
 
 
-@register("p04_p05_time_range_and_null_tags", "SELECT event_id FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts < (SELECT min(ts) + INTERVAL 2 DAY FROM events) AND user_id IN (1, 2, 3, 4, 5)")
+@register("p04_time_range", "SELECT event_id FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events) AND ts < (SELECT min(ts) + INTERVAL 2 DAY FROM events) AND user_id IN (1, 2, 3, 4, 5)")
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     start = e.agg(F.min("ts").alias("t0"))
     return e.join(F.broadcast(start)).where("ts >= t0 + interval 1 day and ts < t0 + interval 2 day").where(F.col("user_id").isin(1, 2, 3, 4, 5)).select("event_id")
 
 
+@register("p05_untagged_events_of_users", """
+    WITH t AS (SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events), g AS (SELECT event_id, user_id, CASE WHEN k % 3 = 0 THEN 'third ' || k END AS tags FROM t)
+    SELECT event_id FROM g WHERE user_id IN (1, 2, 3, 4, 5) AND tags IS NULL""")
+def untagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags come of props: a third of its values has one."""
+    k = F.from_json("props", "k long")["k"]
+    tags = F.when(k % 3 == 0, F.concat(F.lit("third "), k.cast("string")))
+    e = table(spark, sf_dir, "events").withColumn("tags", tags)
+    return e.where(F.col("user_id").isin(1, 2, 3, 4, 5) & F.col("tags").isNull()).select("event_id")
+
+
 @register("p07_a17_sources_with_content", "SELECT lang, array_to_string(list(DISTINCT source ORDER BY source), ',') AS sources FROM documents WHERE text IS NOT NULL AND length(text) > 0 GROUP BY lang")
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.length("text") > 0))

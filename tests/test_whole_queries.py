@@ -24,3 +24,12 @@ def test_batch_answers_of_every_user_turn(spark, tmp_path):
     want = sorted((k, turn, text, f"about {len(text)}") for k, turn, role, text in rows if role == "user")
     assert [(r["conv_id"], r["turn"], r["question"], r["answer"]) for r in got] == want
     assert {(r["citation_1_name"], r["citation_1_headings"], r["citation_1_source"], r["citation_1_text"], r["attrib__n"]) for r in got} == {("Doc", "A > B", "src", "cited", "1")}
+
+
+def test_untagged_events_of_users(spark, tmp_path):
+    place = f"file://{tmp_path}"
+    props = [(1, '{"k": 3}'), (1, '{"k": 4}'), (5, '{"k": 0}'), (5, '{"k": 5}'), (6, '{"k": 5}'), (2, "{}"), (2, None), (None, '{"k": 1}')]
+    spark.createDataFrame([(n, u, p) for n, (u, p) in enumerate(props)], "event_id long, user_id long, props string").write.parquet(f"{place}/events.parquet")
+    queries = entry.queries()
+    assert sorted(r["event_id"] for r in queries["p05_untagged_events_of_users"](spark, place).collect()) == [1, 3, 5, 6]
+    assert not [name for name in queries if "p04_p05" in name]  # the time range alone doesn't hold P05
