@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog import register, table
 from quillstone.functions import strings as S
 from quillstone.operators import conversations as C
+from quillstone.plans.document_queries import with_citations
 from quillstone.plans.relational_queries import pairs
 
 
@@ -76,7 +77,7 @@ def accordions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f29_f30_linked_answers", """SELECT item_id, 'Text.<sup><a href="#citation-' || item_id || '">' || item_id || '</a></sup>' AS html FROM benchmark""")
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.lit("Text. (citation-"), F.col("item_id").cast("string"), F.lit(")"))
+    said = with_citations(F.col("text"), F.col("item_id"))
     return table(spark, sf_dir, "benchmark").select("item_id", C.linked_answer(said).alias("html"))
 
 
@@ -100,7 +101,8 @@ def policy_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("h03_without_anchors", "SELECT item_id, 'see part and pane ' || item_id AS md FROM benchmark")
 def without_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = F.concat(F.lit("see [part](#collapse-1) and [pane](#pane-2) "), F.col("item_id").cast("string"))
+    """Each word of a text as a link to a part or a pane, by turns of the rows."""
+    md = F.regexp_replace(F.col("text"), F.lit(r"(\S+)"), F.when(F.col("item_id") % 2 == 0, "[$1](#collapse-1)").otherwise("[$1](#pane-2)"))
     return table(spark, sf_dir, "benchmark").select("item_id", S.without_anchors(md).alias("md"))
 
 

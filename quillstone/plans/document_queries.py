@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
@@ -88,28 +88,43 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("r06_r11_simplified_citations", """
     SELECT doc_id, 'First. (citation-1) Second. (citation-2)' AS response, 2 AS n_cited, 'x' || doc_id AS first_text FROM documents""")
 def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unknown citations go, two that follow each other become one, and numbers begin at 1."""
-    cited = lambda i, chunk, at, text: F.struct(F.lit(f"citation-{i}").alias("id"), F.lit(chunk).alias("chunk_id"), F.lit(at).alias("subsection_index"), text.alias("text"))
-    mine = F.concat(F.lit("x"), F.col("doc_id").cast("string"))
-    known = F.array(cited(7, "a", 0, mine), cited(8, "b", 3, F.lit("y")), cited(9, "b", 4, F.lit("z")))
-    answer = F.lit("First (citation-7). Second (citation-8) (citation-9)(citation-99).")
-    rows = table(spark, sf_dir, "documents").select("doc_id", D.simplify_citations(answer, known).alias("r"))
+    """Unknown citations go, two that follow each other become one, and numbers begin at 1.
+
+    Answers are the documents' texts with citations 1 to 7; known are 1 to 5, of two chunks, with sentences of the text.
+    """
+    of = lambda i: F.coalesce(F.get(_sentences(F.col("text")), i), F.lit(""))
+    cited = lambda i: F.struct(F.concat(F.lit("citation-"), (i + 1).cast("string")).alias("id"), F.when(i < 3, "a").otherwise("b").alias("chunk_id"), i.alias("subsection_index"), of(i).alias("text"))
+    known = F.transform(F.sequence(F.lit(0), F.lit(4)), cited)
+    rows = table(spark, sf_dir, "documents").select("doc_id", D.simplify_citations(with_citations(F.col("text"), F.col("doc_id")), known).alias("r"))
     return rows.select("doc_id", "r.response", F.size("r.subsections").alias("n_cited"), F.get("r.subsections", F.lit(0))["text"].alias("first_text"))
 
 
+def _sentences(text: Column) -> Column:
+    """All of a text, cut behind each mark."""
+    return F.split(text, r"(?<=[.?!])")
+
+
+def with_citations(text: Column, first: Column, most: int = 7) -> Column:
+    """A text with two citations before each mark, numbers going round from 1 to ``most``."""
+    name = lambda n: F.concat(F.lit(" (citation-"), (F.pmod(n, F.lit(most)) + 1).cast("string"), F.lit(")"))
+    end = lambda s: F.right(s, F.lit(1))
+    put = lambda s, i: F.when(end(s).isin(".", "?", "!"), F.concat(F.left(s, F.length(s) - 1), name(first + i * 3), name(first + i * 3 + 1), end(s))).otherwise(s)
+    return F.array_join(F.transform(_sentences(text), put), "")
+
+
 @register("w09_citation_order", """
     SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'citation-3,citation-1' ELSE 'citation-2' END AS cited FROM conversations""")
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.when(F.col("turn") % 2 == 0, "a (citation-3) b (citation-1) (citation-3)").otherwise("(citation-2)(citation-2)")
+    text = with_citations(F.col("text"), F.col("conv_id") + F.col("turn"))
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\((citation-\d+)\)"), F.lit(1)))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("cited"))
 
 
 @register("r07_citations_behind_marks", "SELECT item_id, 'Text. (citation-1) (citation-2) More! (citation-3)' AS moved FROM benchmark")
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.lit("Text (citation-1) (citation-2). More(citation-3)!")
-    found = F.trim(F.regexp_replace(text, r" *((?: *\(citation-\d+\))+) *([.?!])", "$2 $1"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(found, r"([.?!])  +", "$1 ").alias("moved"))
+    text = with_citations(F.col("text"), F.col("item_id"))
+    found = F.regexp_replace(text, r" *((?: *\(citation-\d+\))+) *([.?!])", "$2 $1")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(found, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "").alias("moved"))
 
 
 @register("d05_grouped_texts", """
