@@ -20,13 +20,13 @@ _TOLD_ARROW = pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("bits", p
 class Distinct:
     """The distinct fingerprints of one group in order of (lo, hi), cut into buckets by the top bits of ``lo``.
 
-    Where there is a second half, 32 bits of it travel: 96 bits keep apart what any corpus holds.
+    Where there is a second half, all 128 bits travel, so that no two of a corpus' fingerprints meet by chance.
     The same fingerprints always give the same order, so an answer needs one bit for each.
     """
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray | None, buckets: int):
-        order = np.argsort(lo, kind="stable") if hi is None else np.lexsort((hi.astype(np.uint32), lo))
-        lo, hi = lo[order], None if hi is None else hi[order].astype(np.uint32)
+        order = np.argsort(lo, kind="stable") if hi is None else np.lexsort((hi, lo))
+        lo, hi = lo[order], None if hi is None else hi[order]
         new = np.ones(len(lo), dtype=bool)
         new[1:] = lo[1:] != lo[:-1]
         if hi is not None:
@@ -62,7 +62,7 @@ def sent_table(rows: list[dict]) -> pa.Table:
 
 def _count(key: tuple, table: pa.Table) -> pa.Table:
     lo = [np.frombuffer(x, np.uint64) for x in table["lo"].to_pylist()]
-    hi = [np.frombuffer(x, np.uint32) for x in table["hi"].to_pylist()]
+    hi = [np.frombuffer(x, np.uint64) for x in table["hi"].to_pylist()]
     multi = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for m, x in zip(table["multi"].to_pylist(), lo, strict=True)]
     grp = table["grp"].to_pylist()
     ends = np.cumsum([len(x) for x in lo])

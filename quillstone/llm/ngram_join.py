@@ -2,9 +2,10 @@
 
 1. Each text becomes a sketch of ``bands * rows`` MinHash values over its word n-grams. Texts with equal n-grams are
    copies; one of them stands for all.
-2. Sketches are shuffled by the hash of each band, those alone in a band left out. In a bucket, pairs are kept whose
-   sketches agree well enough that a similar pair is lost once in millions, each pair only in its first common band.
-   Kept pairs travel packed, by the pair of blocks that their texts belong to; no row is made for a pair.
+2. Sketches are shuffled by the hash of each band, those alone in a band left out. A band's bucket of many sketches is
+   cut into tiles, so that no task takes it whole. In a tile, pairs are kept whose sketches agree well enough that a
+   similar pair is lost once in millions, each pair only in its first common band. Kept pairs travel packed, by the
+   pair of blocks that their texts belong to; no row is made for a pair.
 3. The n-gram sets of texts with a partner meet at their pairs of blocks, once each, and every pair is verified on
    the full sets. What leaves is linear in the texts: links counted for each, and a forest of their components.
 
@@ -29,6 +30,8 @@ from quillstone.llm.shared import groups_for, stage
 BLOCK_TEXTS = 2000
 #: Standard deviations that a sketch may lie below the similarity.
 SLACK = 5.5
+#: Sketches of one bucket that a tile's side holds, and how many buckets at most count as hot: 16 bytes each are broadcast.
+TILE, HOT_BUCKETS = 4096, 1 << 18
 _KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -45,24 +48,45 @@ def bands_for(similarity: float, recall: float, most: int = 160) -> tuple[int, i
     return best
 
 
-def ngrams(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word n-grams of all texts, and where those of each begin; with repeats, in order.
+def ngrams(texts: pa.Array, width: int, seeds: tuple[int, ...] = W.SEEDS[:1]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the word n-grams of all texts, one array for each seed, and where those of each text begin.
 
-    A text of fewer words than ``width`` has one n-gram, all its words; one without words has none.
+    They stand with repeats, in order. A text of fewer words than ``width`` has one n-gram, all its words; one without
+    words has none.
     """
     data, offsets = W.buffers(texts)
     s, e, first = W.word_spans(data, offsets)
-    words = W.word_hashes(data, s, e)
     n = np.diff(first)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     begin = np.concatenate(([0], np.cumsum(count)))
-    out = np.empty(int(begin[-1]), dtype=np.uint64)
     at = W.window_starts(first, width)
     owner = np.searchsorted(first, at, side="right") - 1
-    out[begin[owner] + at - first[owner]] = W.rolled_hashes(words, at, width)
-    for k in np.flatnonzero((n > 0) & (n < width)):
-        out[begin[k]] = W.rolled_hashes(words[first[k] : first[k + 1]], np.zeros(1, np.int64), int(n[k]))[0]
-    return out, begin
+    place = begin[owner] + at - first[owner]
+    few = np.flatnonzero((n > 0) & (n < width))
+    made = []
+    for seed in seeds:
+        words = W.word_hashes(data, s, e, seed)
+        out = np.empty(int(begin[-1]), dtype=np.uint64)
+        out[place] = W.window_hashes(words, at, width)
+        for size in range(1, width):
+            rows = few[n[few] == size]
+            out[begin[rows]] = W.window_hashes(words, first[rows], size)
+        made.append(out)
+    return made, begin
+
+
+def text_keys(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams, where those of each text begin, and a 128-bit key of each text's n-grams, repeats counted.
+
+    The halves of a key are sums over hashes of different seeds, so equal keys mean equal n-grams.
+    """
+    (grams, others), begin = ngrams(texts, width, W.SEEDS)
+    keys = np.zeros(len(begin) - 1, dtype=_KEY)
+    has = np.flatnonzero(np.diff(begin))
+    if len(has):
+        keys["a"][has] = np.add.reduceat(W.mix(grams), begin[has])
+        keys["b"][has] = np.add.reduceat(W.mix(others), begin[has])
+    return grams, begin, keys
 
 
 def _seeds(values: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +143,22 @@ def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, blocks:
     """(meeting, key, key) of the pairs that stay, some ten thousand looked at a time."""
     keys = _keys(table["key"])
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(len(keys), -1)
-    band, bucket = np.asarray(table["band"]), np.asarray(table["bandkey"])
-    order = np.lexsort((keys["b"], keys["a"], bucket))
-    start = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1) != 0)
+    band, bucket, tile_i, tile_j, side = (np.asarray(table[c]) for c in ("band", "bandkey", "tile_i", "tile_j", "side"))
+    order = np.lexsort((keys["b"], keys["a"], side, tile_j, tile_i, bucket))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for column in (bucket, tile_i, tile_j):
+        new[1:] |= np.diff(column[order]) != 0
+    start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(order)))
     block = _block(sketch[:, 0], keys, blocks, parts)
-    # row i of a bucket meets all after it
+    # in a tile of one side, a row meets all after it; else those of the first side meet those of the second
+    at_ = np.arange(len(order))
     last = np.repeat(start + size, size)
-    partners = last - np.arange(len(order)) - 1
+    edge = np.repeat(start + np.add.reduceat(side[order] == tile_i[order], start, dtype=np.int64), size)
+    whole = (tile_i == tile_j)[order]
+    begin = np.where(whole, at_ + 1, edge)
+    partners = np.where(whole | (at_ < edge), last - begin, 0)
     ends = np.cumsum(partners)
     at = 0
     while at < len(order):
@@ -136,7 +168,7 @@ def _bucket_pairs(table: pa.Table, bands: int, rows: int, least: float, blocks:
             n = partners[at:to]
             total = int(n.sum())
             i = np.repeat(np.arange(at, to), n)[lo : lo + 80_000]
-            j = i + 1 + (np.arange(total) - np.repeat(np.cumsum(n) - n, n))[lo : lo + 80_000]
+            j = begin[i] + (np.arange(total) - np.repeat(np.cumsum(n) - n, n))[lo : lo + 80_000]
             x, y = order[i], order[j]
             same = sketch[x] == sketch[y]
             ok = same.mean(axis=1) >= least
@@ -229,28 +261,27 @@ def join(
     bands, rows = bands_for(similarity, recall)
     values = bands * rows
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / values)
-    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     id_type = plain.schema["id"].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                grams, begin = ngrams(part.column(1), width)
+                grams, begin, keys = text_keys(part.column(2), width)
                 has = np.flatnonzero(np.diff(begin))
                 key, sketch = [None] * part.num_rows, [None] * part.num_rows
                 if len(has):
-                    cuts = begin[has]
-                    s = sketches(grams, np.append(cuts, begin[-1]), values)
-                    a, b = np.add.reduceat(W.mix(grams), cuts), np.add.reduceat(W.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), cuts)
+                    s = sketches(grams, np.append(begin[has], begin[-1]), values)
                     for i, k in enumerate(has):
-                        key[k] = a[i].tobytes() + b[i].tobytes()
+                        key[k] = keys[k].tobytes()
                         sketch[k] = s[i].tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "h", "key", "sketch"])
 
-    sketch = stage(plain.mapInArrow(sketched, f"id {id_type}, key binary, sketch binary"), "ngram-sketches")
-    # equal keys have equal sketches, so that any will do
-    copies = stage(sketch.where("key is not null").groupBy("key").agg(F.min("id").alias("copy_id"), F.min("sketch").alias("sketch")), "ngram-copies")
+    sketch = stage(plain.mapInArrow(sketched, f"id {id_type}, h long, key binary, sketch binary"), "ngram-sketches")
+    # equal keys have equal sketches, so that any will do; any row of a copy has its text
+    copies = stage(sketch.where("key is not null").groupBy("key").agg(F.min("id").alias("copy_id"), F.min(F.struct("id", "h")).alias("row"), F.min("sketch").alias("sketch")), "ngram-copies")
     count = copies.count()
     hottest = copies.groupBy(F.substring("sketch", 1, 2).alias("s")).count().agg(F.max("count")).first()[0] or 1
     blocks, parts = groups_for(count, BLOCK_TEXTS), groups_for(hottest, BLOCK_TEXTS)
@@ -262,7 +293,7 @@ def join(
         return G.sent_table(G.Distinct(band_keys(s, bands, rows).ravel(), None, buckets).rows(key[0].as_py()))
 
     shared = G.shared(dealt.groupBy("grp").applyInArrow(all_bands, G.SENT))
-    entry_schema = pa.schema([("bucket", pa.int64()), ("band", pa.int64()), ("bandkey", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+    entry_schema = pa.schema([("band", pa.int64()), ("bandkey", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
     pair_buckets = groups_for(count * bands, 1 << 18)
 
     def entries(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -272,11 +303,18 @@ def join(
         keys = band_keys(s, bands, rows).ravel()
         at = np.flatnonzero(G.Distinct(keys, None, buckets).shared(answers))
         owner = pa.array(at // bands, pa.int64())
-        bucket = (W.mix(keys[at]) % np.uint64(pair_buckets)).astype(np.int64)
-        columns = [pa.chunked_array([pa.array(bucket)]), pa.chunked_array([pa.array(at % bands)]), pa.chunked_array([pa.array(keys[at].view(np.int64))]), table["key"].take(owner), table["sketch"].take(owner)]
+        columns = [pa.chunked_array([pa.array(at % bands)]), pa.chunked_array([pa.array(keys[at].view(np.int64))]), table["key"].take(owner), table["sketch"].take(owner)]
         return pa.Table.from_arrays(columns, schema=entry_schema)
 
-    bucketed = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(entries, "bucket long, band long, bandkey long, key binary, sketch binary")
+    found_entries = stage(dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(entries, "band long, bandkey long, key binary, sketch binary"), "ngram-entries")
+    sizes = found_entries.groupBy("bandkey").agg(F.count(F.lit(1)).alias("n"))
+    # at most HOT_BUCKETS rows pass this bound, whatever the corpus is
+    over = max(TILE, -(-found_entries.count() // HOT_BUCKETS))
+    spread = found_entries.join(F.broadcast(sizes.where(F.col("n") > over)), "bandkey", "left").withColumn("sides", F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int"))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("key"), F.col("sides")).cast("int"))
+    tile = lambda j: F.struct(F.least("side", j).alias("tile_i"), F.greatest("side", j).alias("tile_j"))
+    tiles = spread.select("band", "bandkey", "key", "sketch", "side", F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), tile)).alias("t"))
+    bucketed = tiles.select("band", "bandkey", "key", "sketch", "side", "t.*").withColumn("bucket", F.pmod(F.xxhash64("bandkey", "tile_i", "tile_j"), F.lit(pair_buckets)))
     pair_schema = pa.schema([("meet", pa.int64()), ("pairs", pa.binary())])
 
     def pairs(_key: tuple, table: pa.Table) -> pa.Table:
@@ -297,25 +335,19 @@ def join(
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(keys), pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["meet", "key"])
 
     wanted = stage(met.groupBy("meet").applyInArrow(who, "meet long, key binary"), "ngram-meetings")
-    # one text for each key: ids are enough to find it, and the key is computed again to be sure
-    chosen = copies.join(wanted.select("key").distinct(), "key").select(F.col("key").alias("want"), F.col("copy_id").alias("id"))
+    # one text for each key, by the id and the text's hash of one of its rows; the key is computed again to be sure
+    chosen = copies.join(wanted.select("key").distinct(), "key").select(F.col("key").alias("want"), F.col("row.id").alias("id"), F.col("row.h").alias("h"))
     # a merge join at every size: which texts have partners grows with the corpus
-    texts = plain.join(chosen.hint("merge"), plain["id"].eqNullSafe(chosen["id"])).select("want", "text")
+    texts = plain.join(chosen.hint("merge"), (plain["h"] == chosen["h"]) & plain["id"].eqNullSafe(chosen["id"])).select("want", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                grams, begin = ngrams(part.column(1), width)
-                keys, held = [], []
-                for k, want in enumerate(part.column(0).to_pylist()):
-                    g = grams[begin[k] : begin[k + 1]]
-                    if len(g):
-                        key = W.mix(g).sum(dtype=np.uint64).tobytes() + W.mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes()
-                        if key == want:
-                            keys.append(key)
-                            held.append(np.unique(g).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(held, pa.binary())], names=["key", "grams"])
+                grams, begin, keys = text_keys(part.column(1), width)
+                same = [k for k, want in enumerate(part.column(0).to_pylist()) if keys[k].tobytes() == want]
+                held = [np.unique(grams[begin[k] : begin[k + 1]]).tobytes() for k in same]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[k].tobytes() for k in same], pa.binary()), pa.array(held, pa.binary())], names=["key", "grams"])
 
     found = texts.mapInArrow(sets, "key binary, grams binary").dropDuplicates(["key"])
     there = wanted.join(found, "key")

@@ -5,7 +5,7 @@ left and a right name get a new name, a fingerprint of what they consist of; a s
 right anew in each round. Names thus agree over the whole corpus without a dictionary. Whether a symbol arises at a
 place depends only on the words around it (its reach), so two equal word sequences hold the same symbols wherever
 the reach lies inside them. A window that holds a symbol which occurs once in the corpus, reach and all, is thereby
-shown to be unique. All other windows are verified: their 96-bit fingerprints are counted over the corpus.
+shown to be unique. All other windows are verified: their 128-bit fingerprints are counted over the corpus.
 
 Three steps over groups of documents, each followed by one count of packed fingerprints: symbols, candidate windows,
 removal. Only documents with candidates reach the third.
@@ -99,8 +99,8 @@ class Batch:
         return at[np.cumsum(change)[at] == 0]
 
     def fingerprints(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of each window, from two word hashes of different bases."""
-        lo = W.rolled_hashes(self.h, at, self.window, W.BASES[0])
+        """128 bits of each window, from two word hashes of different keys."""
+        lo = W.window_hashes(self.h, at, self.window)
         if len(at) == 0:
             return lo, lo
         use = np.zeros(len(self.h) + 1, dtype=np.int32)
@@ -108,8 +108,8 @@ class Batch:
         np.add.at(use, at + self.window, -1)
         use = np.cumsum(use[:-1]) > 0
         other = np.zeros(len(self.h), dtype=np.uint64)
-        other[use] = W.word_hashes(self.data, self.s[use], self.e[use], W.BASES[1])
-        return lo, W.rolled_hashes(other, at, self.window, W.BASES[1])
+        other[use] = W.word_hashes(self.data, self.s[use], self.e[use], W.SEEDS[1])
+        return lo, W.window_hashes(other, at, self.window)
 
     def removed(self, at: np.ndarray) -> np.ndarray:
         """For each word whether one of the windows at ``at`` covers it."""

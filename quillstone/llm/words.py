@@ -5,15 +5,18 @@ A word is ``[^\\x20\\x09-\\x0D]+``. Everything here is plain numpy over the UTF-
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Odd bases of the two polynomial hashes, and how many bytes one pass takes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-SEGMENT = 1 << 20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Keys of the two hashes of a word. Words over LONG bytes go through a keyed cryptographic hash, one by one.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+LONG = 64
+_JOIN = np.uint64(0xD6E8FEB86659FD93)
+_HEAD = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,20 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 4096)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(n, b, dtype=np.uint64)
-            x[0] = 1
-            out.append(np.cumprod(x, dtype=np.uint64))
-        have = _POWERS[base] = (out[0], out[1])
-    return have
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a text column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -74,30 +63,49 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word, in passes of about SEGMENT bytes so that memory follows the words."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(starts):
-        lo = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, lo + SEGMENT, side="right")))
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        power, inverse = powers(base, int(e[-1]))
-        sums = np.zeros(e[-1] + 1, dtype=np.uint64)
-        np.cumsum((data[lo : lo + e[-1]].astype(np.uint64) + np.uint64(1)) * power[: e[-1]], out=sums[1:])
-        out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        at = to
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of each word: its length and then eight bytes at a time go through a keyed mixing chain.
+
+    Every step is one-to-one in the bytes it takes, so words of one length up to eight bytes never collide. Words of
+    more than LONG bytes are hashed whole.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) ^ np.uint64(seed))
+    if len(out) == 0:
+        return out
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix(out ^ (eight[starts] & _HEAD[np.minimum(size, 8)]))
+    rows, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(rows):
+        out[rows] = mix(out[rows] ^ (eight[starts[rows] + at] & _HEAD[np.minimum(size[rows] - at, 8)]))
+        at += 8
+        rows = rows[size[rows] > at]
+    key = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(size > LONG):
+        whole = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=key).digest()
+        out[k] = int.from_bytes(whole, "little")
     return out
 
 
-def rolled_hashes(words: np.ndarray, at: np.ndarray, width: int, base: int = BASES[0]) -> np.ndarray:
-    """Hashes of the windows of ``width`` words that start at ``at``, by differences of one running sum."""
+def window_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of ``width`` words that start at ``at``.
+
+    Hashes of 1, 2, 4, ... words are joined in pairs, each join mixed, so that no sum of products lets structured
+    texts cancel out as a polynomial would.
+    """
     if len(at) == 0:
         return np.zeros(0, np.uint64)
-    power, inverse = powers(base, len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * power[: len(words)], out=sums[1:])
-    return mix((sums[at + width] - sums[at]) * inverse[at] + np.uint64(width))
+    level, size, done, out = words, 1, 0, None
+    while True:
+        if width & size:
+            part = level[at + done]
+            out = part if out is None else mix(out * _JOIN + part)
+            done += size
+        if size * 2 > width:
+            return mix(out + np.uint64(width))
+        level = mix(level[:-size] * _JOIN + level[size:])
+        size *= 2
 
 
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillstone.llm import ngram_join, packing, permutation_index, pii, quality_rules, secret_scan, sentencepiece_fst, sharding, sstable, substring_dedup
+from quillstone.llm import words as W
 from quillstone.llm.token_ids import Encoder
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -397,3 +398,54 @@ def test_repeated_rows_are_asked_and_found_once(spark):
     for q, got in found.items():
         score = {k: float(np.cumsum(v * vectors[q])[-1]) for k, v in vectors.items() if k != q}
         assert got == list(enumerate(sorted(score, key=lambda k: (-score[k], k))[:5], 1))
+
+
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text[:n]
+
+
+def test_structured_texts_are_kept_apart(spark):
+    """Long words, and windows of words, on which polynomials modulo a power of two collide for any base."""
+    one = thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(34))
+    swapped = {"a": "left", "b": "right"}
+    windows = [" ".join(swapped[c] for c in x[:2048]) for x in (one, other)]
+    table = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {other}"), *[(3 + k, " ".join(f"{c}{k}" for c in w.split())) for k, w in enumerate(windows)]], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.dedup_substrings(table.where("doc_id < 3")).collect()} == {0}
+    joined = ngram_join.join(table.where("doc_id < 3"), similarity=0.999).collect()
+    assert sorted((r["doc_id"], r["copy_id"]) for r in joined) == [(1, 1), (2, 2)]
+    data = np.frombuffer("".join(w + " " for w in windows).encode(), np.uint8)
+    s, e, first = W.word_spans(data, np.array([0, len(data)]))
+    h = W.word_hashes(data, s, e)
+    for width in (35, 1024, 2048):
+        at = np.array([0, 2048])
+        assert len(set(W.window_hashes(h, at, width).tolist())) == 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abé\x00", min_size=1, max_size=90), min_size=1, max_size=12), st.integers(1, 6))
+def test_equal_windows_have_equal_hashes_and_others_do_not(words_, width):
+    data = np.frombuffer(" ".join(words_).encode(), np.uint8)
+    s, e, _ = W.word_spans(data, np.array([0, len(data)]))
+    h = W.word_hashes(data, s, e)
+    assert [data[a:b].tobytes().decode() for a, b in zip(s, e)] == words_
+    at = np.arange(max(0, len(words_) - width + 1))
+    windows = [tuple(words_[k : k + width]) for k in at]
+    hashes = W.window_hashes(h, at, width).tolist()
+    assert len(set(zip(windows, hashes))) == len(set(windows)) == len(set(hashes))
+
+
+def test_hot_buckets_are_cut_into_tiles(spark, monkeypatch):
+    """A bucket of many near copies gives the same links in tiles as whole."""
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base[:40] + [f"x{k}"] + base[40:]) for k in range(60)] + [" ".join(f"v{k}" for k in range(50))]
+    docs_ = spark.createDataFrame([(k if k % 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    key = lambda r: (str(r["doc_id"]), str(r["class_id"]), r["n_links"])
+    whole = sorted(map(key, ngram_join.join(docs_).collect()))
+    monkeypatch.setattr(ngram_join, "TILE", 8)
+    assert sorted(map(key, ngram_join.join(docs_).collect())) == whole
+    assert Counter(n for _, _, n in whole) == {59: 60, 0: 1}
