@@ -5,7 +5,8 @@ have it among their nearest and at which place. A query's own nearest pivots are
 by the footrule distance of the two orders, and the first of them are ranked again by exact inner products.
 
 Largest inner products become least distances by one more component that gives all vectors the same norm, so vectors
-of any norms have sensible pivots. Equal vectors are posted once. Index and queries meet block by block.
+of any norms have sensible pivots. Equal vectors are posted once. Index and queries meet block by block: a part of the
+queries and a block of the index in one task, so that neither side has to fit anywhere as a whole.
 """
 
 from __future__ import annotations
@@ -77,14 +78,19 @@ def _unpack(data: bytes, dim: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, length: int = 80, share: float = 0.18, least: int = 400, block_rows: int = 8192, query_rows: int = 16384
+    vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 512, length: int = 80, share: float = 0.18, least: int = 100, block_rows: int = 8192, query_rows: int = 16384
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row whose id is divisible by ``every`` its ``k`` nearest others found.
 
     Nearness is the inner product; ties go to the smaller id; rank counts from 1. Rows with a null id, and vectors
     that are null, empty, zero or hold null or non-finite components take no part; vectors meet those of their own
     width. A query finds all candidates if there are at most ``k``. Repeated rows (same id, same vector) count once, as
-    queries and as candidates; an id's other vectors are candidates of their own, but none of a query's own id. Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
+    queries and as candidates. An id with several vectors asks once with each, and ranks count from 1 in each answer;
+    none of a query's own id is found. Components of any finite size take part: orders of pivots are taken from scaled
+    vectors, and a score that overflows is infinite, or not a number and last. Other columns are ignored, whatever
+    their names. An empty table gives no rows.
+
+    Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
     ``block_rows`` distinct vectors, the nearest ``share`` (and at least ``least``) by footrule are ranked exactly.
     """
     v = F.col("v")
@@ -96,24 +102,28 @@ def search(
     kept = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     hashed = F.xxhash64(F.lit(29), "v")
     distinct = stage(kept.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", hashed), "ann-vectors")
-    squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    known = {r["dim"]: (r["n"], r["top"]) for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("top")).collect()}
-    ranked = distinct.select("dim", "v", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v")).alias("r")).where(F.col("r") <= 2 * pivots)
-    chosen: dict[int, np.ndarray] = {}
-    for dim in known:
-        found = [r["v"] for r in ranked.where(F.col("dim") == dim).orderBy("r").collect()]
-        chosen[dim] = apart(lift(np.array(found, dtype=np.float64), known[dim][1]), pivots)
-    tops = {dim: top for dim, (_, top) in known.items()}
-    count = max([n for n, _ in known.values()], default=0)
+    # for each width: how many vectors, their largest component, and with that as one their largest squared norm
+    largest = F.array_max(F.transform("v", F.abs))
+    by_width = {r["dim"]: (r["n"], r["most"]) for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(largest).alias("most")).collect()}
+    scale = F.create_map(*[F.lit(x) for dim, (_, most) in by_width.items() for x in (dim, most)])[F.col("dim")] if by_width else F.lit(1.0)
+    squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + (x / F.col("scale")) * (x / F.col("scale")))
+    tops = {r["dim"]: r["top"] for r in distinct.withColumn("scale", scale).groupBy("dim").agg(F.max(squares).alias("top")).collect()}
+    count = max([n for n, _ in by_width.values()], default=0)
     blocks = groups_for(count, block_rows)
     dealt = distinct.withColumn("block", F.pmod(F.xxhash64(F.lit(31), "h"), F.lit(blocks)))
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "dim")
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "dim", hashed.alias("h"))
     parts = groups_for(queries.count(), query_rows)
     queries = queries.withColumn("part", F.pmod(F.xxhash64(F.lit(37), "id"), F.lit(parts)))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     # every part of the queries meets every block of the index: the stated query set against all rows
-    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    posted = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("long"))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    asked = queries.withColumn("block", number(blocks))
+    posted = dealt.withColumn("part", number(parts)).withColumn("pivot", F.lit(False))
+    # the sample of the pivots goes along with each block, so that the driver holds no vectors
+    sample = distinct.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("r") <= 2 * pivots)
+    sample = sample.withColumn("block", number(blocks)).withColumn("part", number(parts)).withColumn("ids", F.array(F.col("r").cast("long"))).withColumn("pivot", F.lit(True))
+    columns = ["dim", "block", "part", "v", "ids", "pivot"]
+    posted = posted.select(columns).unionByName(sample.select(columns))
+    result = pa.schema([("query_id", pa.int64()), ("query_h", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def dense(column, dim: int) -> np.ndarray:
         flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
@@ -123,26 +133,40 @@ def search(
         if index.num_rows == 0 or asked_.num_rows == 0:
             return result.empty_table()
         dim = key[0].as_py()
+        top, unit = tops[dim], 1.0 / by_width[dim][1] if by_width[dim][1] > 1e-300 else 1e300
+        is_pivot = np.asarray(index["pivot"])
+        place = np.array([x[0] for x in index["ids"].filter(pa.array(is_pivot)).to_pylist()])
+        found_pivots = dense(index["v"].filter(pa.array(is_pivot)), dim)[np.argsort(place)]
+        index = index.filter(pa.array(~is_pivot))
+        if index.num_rows == 0:
+            return result.empty_table()
+        pv = apart(lift(found_pivots * unit, top), pivots)
         x, q = dense(index["v"], dim), dense(asked_["v"], dim)
+        xs = x * unit
+        qs = q / np.abs(q).max(axis=1, keepdims=True)
+        qs = qs / np.linalg.norm(qs, axis=1, keepdims=True)
         ids = index["ids"].to_pylist()
-        pv, top = chosen[dim], tops[dim]
-        postings = Postings(orders(lift(x, top), pv, length), len(pv))
-        q_orders = orders(np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True) * np.sqrt(top), np.zeros((len(q), 1))], axis=1), pv, length)
+        postings = Postings(orders(lift(xs, top), pv, length), len(pv))
+        q_orders = orders(np.concatenate([qs * np.sqrt(top), np.zeros((len(qs), 1))], axis=1), pv, length)
         most = max(least, int(share * len(x)))
-        out_q, out_v, out_s = [], [], []
-        for own, vector, order in zip(asked_["id"].to_pylist(), q, q_orders, strict=True):
-            rows_ = postings.nearest(order, most)
-            if len(rows_) > k + 1:  # one of them may be the query alone; rounding is far below the margin
-                about = x[rows_] @ vector
-                margin = 1e-9 * np.sqrt(top) * np.linalg.norm(vector)
-                rows_ = rows_[about >= np.partition(about, len(about) - k - 1)[len(about) - k - 1] - margin]
-            scores = exact(vector, x[rows_])
-            found = sorted((-s, i) for r, s in zip(rows_.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own)[:k]
-            out_q += [own] * len(found)
-            out_v += [i for _, i in found]
-            out_s += [-s for s, _ in found]
-        return pa.Table.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=result)
-
-    met = posted.select("dim", "block", "part", "v", "ids").groupBy("dim", "block", "part").cogroup(asked.groupBy("dim", "block", "part")).applyInArrow(answer, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        out_q, out_h, out_v, out_s = [], [], [], []
+        with np.errstate(over="ignore", invalid="ignore"):
+            for own, h, vector, turned, order in zip(asked_["id"].to_pylist(), asked_["h"].to_pylist(), q, qs, q_orders, strict=True):
+                rows_ = postings.nearest(order, most)
+                # one of them may be the query alone; rounding is far below the margin, but a sum that overflows isn't
+                if len(rows_) > k + 1 and by_width[dim][1] * np.abs(vector).max() < 1e300 / dim:
+                    about = xs[rows_] @ turned
+                    margin = 1e-9 * np.sqrt(top)
+                    rows_ = rows_[about >= np.partition(about, len(about) - k - 1)[len(about) - k - 1] - margin]
+                scores = exact(vector, x[rows_])
+                none = np.isnan(scores)
+                found = sorted((m, 0.0 if m else -s, i, s) for r, m, s in zip(rows_.tolist(), none.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own)[:k]
+                out_q += [own] * len(found)
+                out_h += [h] * len(found)
+                out_v += [i for *_, i, _ in found]
+                out_s += [s for *_, s in found]
+        return pa.Table.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_h, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=result)
+
+    met = posted.groupBy("dim", "block", "part").cogroup(asked.groupBy("dim", "block", "part")).applyInArrow(answer, "query_id long, query_h long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.isnan("score"), F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -449,3 +449,47 @@ def test_hot_buckets_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 8)
     assert sorted(map(key, ngram_join.join(docs_).collect())) == whole
     assert Counter(n for _, _, n in whole) == {59: 60, 0: 1}
+
+
+def test_recall_far_above_the_least(spark):
+    """20,000 vectors without any structure, the hardest case, in blocks of which a fifth at most is ranked exactly."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(20_000, 32)) * r.uniform(0.5, 2.0, size=(20_000, 1))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    looked = []
+    inner = permutation_index.Postings(permutation_index.orders(x[:4000], x[:64], 20), 64)
+    for k in range(0, 4000, 400):
+        looked.append(len(inner.nearest(permutation_index.orders(x[k : k + 1], x[:64], 20)[0], 720)))
+    assert 100 < max(looked) < 0.3 * 4000  # the footrule decides, not the whole block
+    found = defaultdict(set)
+    for row in permutation_index.search(table).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    assert set(found) == set(range(0, 20_000, 20))
+    hits = 0
+    for q, got in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hits / (20 * len(found)) >= 0.9
+
+
+def test_repeated_ids_and_huge_components(spark):
+    x = np.random.default_rng(6).normal(size=(40, 4))
+    rows_ = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, (-x[0]).tolist())]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows_], "vec_id long, embedding array<double>, rank int, h string")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in permutation_index.search(table, k=5).collect() if r["query_id"] == 0]
+    for sign in (1, -1):
+        score = x[1:] @ (sign * x[0])
+        want = (np.argsort(-score)[:5] + 1).tolist()
+        assert all((0, n, v) in got for n, v in enumerate(want, 1))
+    assert len(got) == 10
+    big = spark.createDataFrame([(k, (v * 1e200).tolist()) for k, v in enumerate(x)] + [(20 * k, [1e-200, 0.0, 0.0, 1e-200]) for k in (5, 6)], "vec_id long, embedding array<double>")
+    answers = permutation_index.search(big, k=5).orderBy("query_id", "rank").collect()
+    assert Counter(r["query_id"] for r in answers) == {0: 5, 20: 5, 100: 5, 120: 5}
+    best = np.argsort(-(x @ np.array([1.0, 0, 0, 1.0])))[:5].tolist()
+    assert [r["vec_id"] for r in answers if r["query_id"] == 100] == best
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = {k: float(np.cumsum(x[k] * 1e200 * (x[0] * 1e200))[-1]) for k in range(1, 40)}
+        score |= {k: float(np.cumsum(np.array([1e-200, 0.0, 0.0, 1e-200]) * (x[0] * 1e200))[-1]) for k in (100, 120)}
+    want = sorted(score, key=lambda k: (np.isnan(score[k]), -score[k] if score[k] == score[k] else 0, k))[:5]
+    assert [r["vec_id"] for r in answers if r["query_id"] == 0] == want
