@@ -148,11 +148,13 @@ def pack(
     """
     if not 0 < most <= capacity:
         raise ValueError("pieces must fit into a sequence")
-    made = stage(pieces(docs, tokenizer, id_col, text_col, end_id, capacity, most, with_ids), "packing-pieces")
+    named = pieces(docs, tokenizer, id_col, text_col, end_id, capacity, most, with_ids)
+    # a written row number deals pieces evenly, however many of them are alike
+    made = stage(named.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     count = made.count()
     groups = groups_for(count, group_pieces)
     # whole sequences are windows already; they are dealt too, so that they get their numbers
-    dealt = made.withColumn("grp", F.pmod(F.xxhash64(F.lit(11), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = made.withColumn("grp", F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(groups)))
 
     def place(key: tuple, table: pa.Table) -> pa.Table:
         order = sorted(range(table.num_rows), key=list(zip(*(table[c].to_pylist() for c in ("ids_crc32", "start", "length")), strict=True)).__getitem__)
@@ -172,7 +174,7 @@ def pack(
             table = table.append_column(name, pa.array(values, pa.int64()))
         return table
 
-    names = [f.name for f in made.schema.fields]
+    names = list(named.columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", window long, offset long"
     placed = stage(dealt.groupBy("grp").applyInArrow(place, schema), "packing-windows")
     bases = first_numbers(placed.groupBy("grp").agg((F.max("window") + 1).alias("n")))

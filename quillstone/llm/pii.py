@@ -7,6 +7,7 @@ what is redacted. Fixed formats (email, ip, card, phone) are found exactly besid
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -321,12 +322,25 @@ def method_spans(text: str, base: list[Span], model: Boosted) -> list[Span]:
         return []
     p = model.probability(np.array([features(text, c) for c in found]))
     out: list[Span] = []
-    taken = [(a, b) for a, _, b in base]
+    # stretches that are taken, apart from each other and in order, so that a look at two neighbours is enough
+    starts: list[int] = []
+    stops: list[int] = []
+    for a, _, b in sorted(base):
+        if stops and a < stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
     for k in np.argsort(-p, kind="stable"):
         start, kind, stop = found[k]
-        if p[k] >= model.thresholds[kind] and all(b <= start or stop <= a for a, b in taken):
-            out.append(found[k])
-            taken.append((start, stop))
+        if p[k] < model.thresholds[kind]:
+            continue
+        at = bisect.bisect_left(starts, start)
+        if (at and stops[at - 1] > start) or (at < len(starts) and starts[at] < stop):
+            continue
+        out.append(found[k])
+        starts.insert(at, start)
+        stops.insert(at, stop)
     return out
 
 
@@ -350,8 +364,10 @@ RESULT = {**{f"n_{k}": T.LongType() for k in BASE}, "base_sha256": T.StringType(
 def find(docs: DataFrame, model: Boosted, text_col: str = "text", redact: bool = False) -> DataFrame:
     """The columns of ``docs`` with n_email, n_ip, n_card, n_phone, base_sha256, spans; with ``redact`` also redacted.
 
-    Spans are kind:start:stop in code points, stop exclusive, by start and then kind. Null texts count as empty. Rows
-    are independent; result columns replace columns of the same names.
+    Spans are kind:start:stop in code points, stop exclusive, by start and then kind. Null texts count as empty and
+    have no spans; texts of any length are read whole, in time that follows their length. Rows are independent, so
+    repeated rows get the same result; result columns replace columns of the same names, all others stay. Of equally
+    likely candidates that overlap the first stays. An empty table gives no rows.
     """
     own = {*RESULT, *(["redacted"] if redact else [])}
     names = [c for c in docs.columns if c not in own or c == text_col]

@@ -238,5 +238,8 @@ def keep(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFram
     lambdas, and cost a square of a text's words. A row number, which isn't deterministic, holds it where it is.
     """
     verdict_, _ = verdict(rules)
-    numbered = with_statistics(docs, text_col).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.where(~base_failed() & verdict_ & (F.col("_row") >= 0)).drop("_row")
+    row = "row"
+    while row in docs.columns:  # a column of the table keeps its name
+        row += "_"
+    numbered = with_statistics(docs, text_col).withColumn(row, F.monotonically_increasing_id())
+    return numbered.where(~base_failed() & verdict_ & (F.col(row) >= 0)).drop(row)

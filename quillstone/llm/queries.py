@@ -28,9 +28,9 @@ def op1_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents shuffled and dealt into 40 shards."""
+    """All documents shuffled and dealt into 40 shards; sizes and checksums are those of the written records."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shuffle_shards(docs, shards=40, with_text=False).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shuffle_shards(docs, shards=40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op3_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in sorted-string-table shards, read back."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    shards = sstable.write(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
-    return sstable.read(spark, shards, docs.schema["doc_id"].dataType)
+    manifest = sstable.write(docs, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return sstable.read(spark, manifest, docs.schema["doc_id"].dataType)
 
 
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,20 +130,63 @@ def mean_ratio(text: Column, model: Model) -> Column:
     return F.floor(total / F.greatest(F.length(text) - 1, F.lit(1)))
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it, lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, join, zero: Column) -> Column:
+    """For each place of an array ``join`` over all values before it, and ``zero`` for the first.
+
+    Blocks of about the cube root of the length are joined first, so that long arrays cost little more than their
+    length: nothing grows by copies of itself.
+    """
+    fold = lambda part: F.aggregate(part, zero, join)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def over(x: Column, n: Column, block: Column) -> Column:
+        sums = F.transform(upto(F.ceil(n / block).cast("int")), lambda k: fold(F.slice(x, k * block + 1, block)))
+        whole = lambda s: F.transform(upto(F.size(s)), lambda k: fold(F.slice(s, F.lit(1), k)))
+
+        def at(w: Column) -> Column:
+            return F.transform(upto(n), lambda i: F.aggregate(F.slice(x, i - i % block + 1, i % block), F.get(w, F.floor(i / block).cast("int")), join))
+
+        return _with(sums, lambda s: _with(whole(s), at))
+
+    size = lambda x: F.greatest(F.ceil(F.cbrt(2.0 * F.size(x))).cast("int"), F.lit(1))
+    return _with(values, lambda x: F.when(F.size(x) > 0, _with(size(x), lambda block: over(x, F.size(x), block))).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, pattern: str, rank: int) -> Column:
     """All matches as (start, rank, stop), code points, from what stands between them."""
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     length = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
-    empty = F.array().cast("array<struct<start:int,rank:int,stop:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    steps = F.filter(F.zip_with(between, length, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), lambda x: x["m"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["b"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["m"]).alias("stop"))
-        return F.struct((begin + x["m"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(x: Column, at: Column) -> Column:
+        return F.struct((at + x["b"]).alias("start"), F.lit(rank).alias("rank"), (at + x["b"] + x["m"]).alias("stop"))
 
-    both = F.filter(F.zip_with(between, length, lambda b, m: F.struct(b.alias("b"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    return _with(steps, lambda s: F.zip_with(s, _running(F.transform(s, lambda x: x["b"] + x["m"]), lambda acc, x: acc + x, F.lit(0)), span))
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps. Runs are in order and apart from each other.
+
+    As many base spans begin before a run's stop as end at or before its start: both are counted along sorted events.
+    """
+
+    def counted(at: Column, order: int, points: Column, other: int) -> Column:
+        marks = F.transform(at, lambda x: F.struct(x.alias("at"), F.lit(order).alias("order"), F.lit(0).alias("one")))
+        ones = F.transform(points, lambda x: F.struct(x.alias("at"), F.lit(other).alias("order"), F.lit(1).alias("one")))
+        numbered = lambda e: F.zip_with(
+            e, _running(F.transform(e, lambda x: x["one"]), lambda acc, x: acc + x, F.lit(0)), lambda x, n: F.struct(x["one"].alias("one"), n.alias("n"))
+        )
+        both = _with(F.sort_array(F.concat(marks, ones)), numbered)
+        return F.transform(F.filter(both, lambda x: x["one"] == 0), lambda x: x["n"])
+
+    begun = counted(F.transform(runs, lambda r: r["stop"]), 0, F.transform(base, lambda b: b["start"]), 1)
+    ended = counted(F.transform(runs, lambda r: r["start"]), 1, F.transform(base, lambda b: b["stop"]), 0)
+    return _chosen(runs, F.zip_with(begun, ended, lambda x, y: x == y))
 
 
 def _texts(text: Column, pattern: str, group: int) -> Column:
@@ -167,8 +210,9 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", redact: bool = F
     ``redacted``, the text in which each span is replaced by ``[secret]``.
 
     Spans are kind:start:stop in code points, stop exclusive, by start and then kind. Runs that the models take for
-    secrets are added where no fixed format holds them already. Null texts count as empty. Rows are independent.
-    Result columns replace columns of the same names.
+    secrets are added where no fixed format holds them already. Null texts count as empty and have no spans; texts of
+    any length are read whole. Rows are independent, so repeated rows get the same result. Result columns replace
+    columns of the same names, all others stay. An empty table gives no rows.
     """
     own = {*RESULT, *(["redacted"] if redact else [])}
     names = [c for c in docs.columns if c not in own or c == text_col]
@@ -192,8 +236,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", redact: bool = F
     )
     base = F.sort_array(F.concat("assign", "access", "hex"))
     d = d.withColumn("base", F.when(F.size("assign") + F.size("access") + F.size("hex") == 0, none).otherwise(base))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    d = d.withColumn("more", F.when(F.size("runs") == 0, none).otherwise(apart))
+    apart = _apart(F.col("runs"), F.col("base"))
+    d = d.withColumn("more", F.when(F.size("runs") == 0, none).when(F.size("base") == 0, F.col("runs")).otherwise(apart))
     d = d.withColumn("all", F.when(F.size("more") == 0, F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))))
     out = [F.col(a).alias(c) for c, a in inner.items()]
     out += [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
@@ -205,11 +249,9 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", redact: bool = F
 
 def _redacted(text: Column, spans: Column) -> Column:
     """The text with each stretch that spans cover replaced once."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        part = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(part, F.lit("[secret]")))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), new.alias("out"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    covered = _running(F.transform(spans, lambda s: s["stop"]), lambda acc, x: F.greatest(acc, x), F.lit(0))
+    both = F.zip_with(spans, covered, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at")))
+    first = F.filter(both, lambda x: x["start"] >= x["at"])  # a stretch begins where all before it have ended
+    parts = F.transform(first, lambda x: F.substring(text, x["at"] + 1, x["start"] - x["at"]))
+    end = F.array_max(F.transform(spans, lambda s: s["stop"]))
+    return F.concat(F.array_join(F.transform(parts, lambda p: F.concat(p, F.lit("[secret]"))), ""), F.substring(text, end + 1, F.length(text)))

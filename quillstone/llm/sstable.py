@@ -4,15 +4,18 @@ A shard holds documents in order of their keys:
 
     block*  index  bloom  footer
 
-* block: entries ``shared u16 | suffix u16 | value u32 | key suffix | value``, the key without what it shares with
+* block: entries ``shared u32 | suffix u32 | value u32 | key suffix | value``, the key without what it shares with
   the key before it (nothing at a block's start), then crc32 of all that. A value is the ids, 2 bytes each if every
   id of the shard fits, else 4.
-* index: for each block ``offset u64 | size u32 | documents u32 | ids u64 | key length u16 | last key``.
+* index: for each block ``offset u64 | size u32 | documents u32 | ids u64 | key length u32 | last key``.
 * bloom: ``bits u64 | hashes u32 | bytes``.
 * footer, of fixed size: magic, version, width of an id, documents, ids, places of index and bloom, crc32 of both.
 
 Keys are big-endian with the sign bit turned for integers, so that their bytes sort as numbers do, and UTF-8 for
 strings. A null key is the empty one, before all others. Equal keys stand next to each other.
+
+A manifest, itself a written table, has a row for each shard: its place in the order of keys, first and last key,
+documents and ids. A lookup asks it for the shards whose range holds the key.
 """
 
 from __future__ import annotations
@@ -27,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.shared import fresh, groups_for, open_shared, rename_shared, text_bytes
+from quillstone.llm.packing import first_numbers
+from quillstone.llm.shared import fresh, groups_for, open_shared, rename_shared, stage, text_bytes
 from quillstone.llm.token_ids import encoder
 
-MAGIC, VERSION = b"QSSSTv01", 1
+MAGIC, VERSION = b"QSSSTv02", 2
 FOOTER = struct.Struct("<8sIIQQQQQQI")
-ENTRY = struct.Struct("<HHI")
-BLOCK = struct.Struct("<QIIQH")
+ENTRY = struct.Struct("<III")
+BLOCK = struct.Struct("<QIIQI")
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 32 << 10, 10, 7
 
 
@@ -79,7 +84,7 @@ class Writer:
             raise ValueError("keys must come in order")
         shared = 0
         if self.block_docs:
-            most = min(len(key), len(self.last), 0xFFFF)
+            most = min(len(key), len(self.last))
             while shared < most and key[shared] == self.last[shared]:
                 shared += 1
         suffix = key[shared:]
@@ -172,14 +177,16 @@ class Reader:
         return None
 
 
-def write(
-    docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 32 << 20
-) -> list[tuple[str, int, int]]:
-    """Encode every text, append ``end_id``, write shards in order of the keys; (file, documents, ids) in that order.
+MANIFEST = "grp long, first binary, last binary, file string, docs long, ids long"
+
 
-    The list is as long as there are shards. Null and empty texts have their end id alone; null keys come first;
-    repeated keys are kept, in order of their texts. A file gets its name when it is whole, and a task that runs again
-    writes another file, so lost executors leave nothing that is read.
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, shard_bytes: int = 32 << 20) -> DataFrame:
+    """Encode every text, append ``end_id``, write shards in order of the keys; the manifest, a row for each shard.
+
+    Keys are integers or strings of any length. Null and empty texts have their end id alone; null keys come first;
+    repeated keys are kept, in order of a hash of their texts, and may fill several shards, however many they are.
+    Other columns are ignored, whatever their names. An empty table gives no shards. A file gets its name when it is
+    whole, and a task that runs again writes another file, so lost executors leave nothing that is read.
     """
     spark = docs.sparkSession
     path = path or fresh(spark, "sstable")
@@ -206,24 +213,24 @@ def write(
                         writer, first = Writer(out, width), key
                     writer.add(key, ids + end)
         if writer is not None:
+            last = writer.keys[-1]
             writer.close()
             out.close()
             rename_shared(unfinished, name)
-            yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.binary()), "file": [name], "docs": [writer.docs], "ids": [writer.ids]})
+            grp = TaskContext.get().partitionId()  # ranges of keys in order
+            yield pa.RecordBatch.from_pydict({"grp": pa.array([grp], pa.int64()), "first": pa.array([first], pa.binary()), "last": pa.array([last], pa.binary()), "file": [name], "docs": [writer.docs], "ids": [writer.ids]})
 
-    ranged = plain.repartitionByRange(groups_for(n_bytes, shard_bytes), "id").sortWithinPartitions("id", "text")
-    files = ranged.mapInArrow(run, "first binary, file string, docs long, ids long").collect()
-    return [(r["file"], r["docs"], r["ids"]) for r in sorted(files, key=lambda r: bytes(r["first"]))]
+    # a range may begin among rows of one key, and among equal rows
+    keyed = plain.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = ["id", "h", "row"]
+    ranged = keyed.repartitionByRange(groups_for(n_bytes, shard_bytes), *order).sortWithinPartitions(*order).select("id", "text")
+    return stage(ranged.mapInArrow(run, MANIFEST), "sstable-manifest")
 
 
-def read(spark: SparkSession, shards: list[tuple[str, int, int]], id_type: T.DataType | None = None, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def read(spark: SparkSession, manifest: DataFrame, id_type: T.DataType | None = None, id_col: str = "doc_id", with_ids: bool = False, tasks: int = 4096) -> DataFrame:
     """(id, start, n_tokens, ids_crc32[, ids]) of every document, from the shards' bytes; start counts over all shards."""
     id_type = id_type or T.LongType()
     string = isinstance(id_type, T.StringType)
-    starts, at = [], 0
-    for file, _, ids in shards:
-        starts.append((file, at))
-        at += ids
     kind = pa.string() if string else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +257,30 @@ def read(spark: SparkSession, shards: list[tuple[str, int, int]], id_type: T.Dat
                 if keys:
                     yield full()
 
-    listed = spark.createDataFrame(starts, "file string, start long").repartition(max(1, len(starts)))
+    bases = first_numbers(manifest.select("grp", F.col("ids").alias("n")))
+    listed = manifest.join(bases, "grp").select("file", F.col("base").alias("start")).repartition(max(1, min(manifest.count(), tasks)))
     schema = f"id {'string' if string else 'long'}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return listed.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def lookup(shards: list[tuple[str, int, int]], key: int | str | None) -> np.ndarray | None:
-    """The ids of one document, from whichever shard holds its key."""
-    wanted = key_of(key)
-    for file, _, _ in shards:
-        with open_shared(file, "rb") as source:
-            ids = Reader(source).get(wanted)
-        if ids is not None:
-            return np.frombuffer(ids, "<u4")
-    return None
+class Table:
+    """Lookups in a written table: binary search among the shards' ranges, and then in the one shard that holds a key.
+
+    What is kept are the ranges: two keys and a name for each shard.
+    """
+
+    def __init__(self, manifest: DataFrame):
+        rows = manifest.orderBy("grp").collect()
+        self.firsts, self.lasts, self.files = [bytes(r["first"]) for r in rows], [bytes(r["last"]) for r in rows], [r["file"] for r in rows]
+
+    def get(self, key: int | str | None) -> np.ndarray | None:
+        """The ids of the first document with this key, or None."""
+        wanted = key_of(key)
+        for k in range(bisect.bisect_left(self.lasts, wanted), len(self.files)):
+            if self.firsts[k] > wanted:
+                break
+            with open_shared(self.files[k], "rb") as source:
+                ids = Reader(source).get(wanted)
+            if ids is not None:
+                return np.frombuffer(ids, "<u4")
+        return None

@@ -1,12 +1,14 @@
 """Byte-level BPE ids of whole texts by the tokenizers library.
 
-The vocabulary's pre-tokeniser never joins what stands before a space to the space, if a non-space follows it. Such
-texts are encoded word by word and the ids of words are kept; any other text is encoded whole. New words are cut by
+The byte-level pre-tokeniser never joins what stands before a space to the space, if a non-space follows it. Such
+texts are encoded word by word and the ids of words are kept; any other text, and every text of a vocabulary with
+another normaliser, pre-tokeniser or model, is encoded whole by the library. New words are cut by
 the pre-tokeniser's pattern, and the library's model encodes their new parts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -28,12 +30,25 @@ MARKS = ",.:;!?)"
 _LOOSE = re.compile(r" (?:\s|\Z)")
 
 
+def by_words(settings: dict) -> bool:
+    """Whether a vocabulary file has the pre-tokeniser and the model that words are cut for here, and nothing else."""
+    pre, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges", "unk_token"))
+    tokens = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in settings.get("added_tokens") or [])
+    return bool(plain and settings.get("normalizer") is None and model.get("type") == "BPE" and not odd and not tokens)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.by_words = by_words(json.load(file))
+        if not self.by_words:
+            return
         self.after: dict[str, bytes] = {}  # words after a space
         self.first: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -96,6 +111,8 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty and has none."""
         texts = [t or "" for t in texts]
+        if not self.by_words:
+            return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
         loose = [k for k, t in enumerate(texts) if _LOOSE.search(t)]
         if loose:

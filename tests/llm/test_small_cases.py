@@ -245,6 +245,7 @@ def test_shards_by_rows(spark, docs):
     again = sharding.shuffle_shards(docs.repartition(5), 4, bucket_bytes=30_000).collect()
     assert sorted((r["shard"], r["slot"], r["text"] or "") for r in got) == sorted((r["shard"], r["slot"], r["text"] or "") for r in again)
     assert sharding.shuffle_shards(docs.where("false"), 4).count() == 0
+    assert Counter(r["shard"] for r in sharding.shuffle_shards(docs, 40).collect()) == Counter(range(len(rows())))
     assert sorted(sharding.fisher_yates(100, 3)) == list(range(100))
 
 
@@ -289,8 +290,9 @@ def test_differencing_balances():
 
 
 def test_sstable_round_trip(spark, docs, tmp_path):
-    shards = sstable.write(docs, BPE, path=f"file://{tmp_path}/t", shard_bytes=10_000)
-    got = sstable.read(spark, shards, with_ids=True).orderBy("start").collect()
+    manifest = sstable.write(docs.withColumn("start", F.lit("clash")), BPE, path=f"file://{tmp_path}/t", shard_bytes=10_000)
+    assert manifest.count() > 1
+    got = sstable.read(spark, manifest, with_ids=True).orderBy("start").collect()
     assert len(got) == len(rows())
     at = 0
     texts = {r[0]: r[1] for r in rows()}
@@ -302,11 +304,31 @@ def test_sstable_round_trip(spark, docs, tmp_path):
     keys = [r["doc_id"] for r in got]
     assert keys[0] is None
     assert keys[1:] == sorted(keys[1:])
+    table = sstable.Table(manifest)
     for key in (None, 0, 8, 14):
-        assert sstable.lookup(shards, key).tolist() == ids_of(texts[key], 2)
-    assert sstable.lookup(shards, 10**9) is None
-    assert sstable.lookup(shards, -5) is None
-    assert sstable.read(spark, sstable.write(docs.where("false"), BPE, path=f"file://{tmp_path}/e")).count() == 0
+        assert table.get(key).tolist() == ids_of(texts[key], 2)
+    assert table.get(10**9) is None
+    assert table.get(-5) is None
+    empty = sstable.write(docs.where("false"), BPE, path=f"file://{tmp_path}/e")
+    assert sstable.read(spark, empty).count() == 0
+    assert sstable.Table(empty).get(1) is None
+
+
+def test_sstable_of_equal_rows_and_long_keys(spark, tmp_path):
+    alike = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text of a hot row " * 4).alias("text")).repartition(4)
+    manifest = sstable.write(alike, BPE, path=f"file://{tmp_path}/a", shard_bytes=4_000)
+    assert manifest.count() > 8  # one key fills many shards
+    starts = [r["start"] for r in sstable.read(spark, manifest).orderBy("start").collect()]
+    n = len(ids_of("the same text of a hot row " * 4, 2))
+    assert starts == [n * k for k in range(600)]
+    keys = ["k" * 70_000, "k" * 70_000 + "z", "a", "é"]
+    named = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "doc_id string, text string")
+    manifest = sstable.write(named, BPE, path=f"file://{tmp_path}/s")
+    from pyspark.sql import types as T
+
+    assert [r["doc_id"] for r in sstable.read(spark, manifest, T.StringType()).orderBy("start").collect()] == sorted(keys, key=str.encode)
+    table = sstable.Table(manifest)
+    assert all(table.get(k).tolist() == ids_of(f"text {i}", 2) for i, k in enumerate(keys))
 
 
 def test_damaged_shards_are_noticed(tmp_path):
@@ -493,3 +515,70 @@ def test_repeated_ids_and_huge_components(spark):
         score |= {k: float(np.cumsum(np.array([1e-200, 0.0, 0.0, 1e-200]) * (x[0] * 1e200))[-1]) for k in (100, 120)}
     want = sorted(score, key=lambda k: (np.isnan(score[k]), -score[k] if score[k] == score[k] else 0, k))[:5]
     assert [r["vec_id"] for r in answers if r["query_id"] == 0] == want
+
+
+def test_shards_on_disk_hold_the_records_in_order(spark, docs, tmp_path):
+    sharded = sharding.shuffle_shards(docs, 4, bucket_bytes=30_000)
+    want = {(r["shard"], r["slot"]): (r["doc_id"], r["text"], r["lang"]) for r in sharded.collect()}
+    sharding.write_shards(sharded, f"file://{tmp_path}/w", file_bytes=20_000)
+    for shard in range(4):
+        found = spark.read.parquet(f"file://{tmp_path}/w/shard={shard}").orderBy("slot").collect()
+        assert [want[shard, k] for k in range(len(found))] == [(r["doc_id"], r["text"], r["lang"]) for r in found]
+    assert len(want) == len(rows())
+
+
+def test_rows_that_are_alike_spread_over_buckets(spark):
+    alike = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")).repartition(3)
+    table = alike.unionByName(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+    got = sharding.shuffle_shards(table, 3, bucket_bytes=2000, alike=100).collect()
+    assert sorted(Counter(r["shard"] for r in got).values()) == [1334, 1334, 1334]
+    assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(1334)) for k in range(3))
+    assert {r["doc_id"] for r in got} == {None, 1, 2}
+    packed = packing.pack(table, BPE, capacity=64, most=16, group_pieces=512).collect()
+    assert len(packed) == 4002
+    assert len({r["sequence_id"] for r in packed}) <= 4004 // 64 + 8  # a last window for each of eight groups
+
+
+def test_many_spans_of_one_text_take_linear_time(spark):
+    import time
+
+    model = pii.train(2000)
+    seconds = []
+    for n in (5_000, 40_000):
+        text = "mac 00:1b:44:11:3a:b7 and ssn 123-45-6789 " * (n // 2)
+        start = time.perf_counter()
+        pii.method_spans(text, pii.base_spans(text), model)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 24 * seconds[0]
+    unit = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x '
+    docs_ = spark.createDataFrame([(1, unit * 20_000)], "doc_id long, text string")
+    found = secret_scan.scan(docs_, secret_scan.Model((0,) * 128 * 128, -1)).first()
+    assert (found["n_assign"], found["n_hex"], found["n_random"]) == (20_000, 20_000, 0)
+    spans = found["spans"].split(",")
+    assert spans[:2] == ["assign:0:49", "hex:9:49"]
+    assert spans[-1] == f"hex:{len(unit) * 19_999 + 9}:{len(unit) * 19_999 + 49}"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=80))
+def test_running_sums(spark, values):
+    table = spark.createDataFrame([(values,)], "v array<int>")
+    got = table.select(secret_scan._running(F.col("v"), lambda a, x: a + x, F.lit(0)).alias("r")).first()["r"]
+    assert got == [sum(values[:k]) for k in range(len(values))]
+
+
+def test_other_vocabularies_are_encoded_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, whole = Encoder(path), Tokenizer.from_file(path)
+    assert not enc.by_words
+    for text in ("Some words, and 12 numbers.", "", "  é\n x"):
+        ids = enc.encode([text])[0]
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole.encode(text, add_special_tokens=False).ids
+    assert ENCODER.by_words
+
+
+def test_a_table_s_row_columns_stay(spark, docs):
+    named = docs.withColumn("row", F.lit(7)).withColumn("_row", F.lit(8))
+    kept = quality_rules.keep(named, [])
+    assert {"row", "_row"} <= set(kept.columns)
+    assert kept.count() > 0
