@@ -105,8 +105,8 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, most: int, with_ids: bool = False) -> DataFrame:
-    """One row per piece of every document, with the ids themselves if asked for (little-endian unsigned 32-bit)."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, capacity: int, most: int, with_ids: bool = False, width: int = 4) -> DataFrame:
+    """One row per piece of every document, with the ids themselves if asked for (little-endian unsigned, ``width`` bytes)."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
                         owner.append(k)
                         rows.append((start, length, zlib.crc32(piece), n))
                         if with_ids:
-                            held.append(piece)
+                            held.append(piece if width == 4 else np.frombuffer(piece, "<u4").astype("<u2").tobytes())
                 columns = [part.column(0).take(pa.array(owner, pa.int64())), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
@@ -137,18 +137,21 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, most: int = 512, group_pieces: int = 512, with_ids: bool = False
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = 2048, most: int = 512, group_pieces: int = 512, with_ids: bool = False, width: int = 4
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]), a row for each piece.
 
     Every id of every document, its end id included, lies in one piece; a sequence holds at most ``capacity`` ids and
     its pieces stand at offsets without gaps. sequence_id runs without gaps from 0. Null and empty texts have their
     end id alone. Repeated rows and null ids are packed like any others; other columns are ignored. An empty table
-    gives no rows.
+    gives no rows. With ``with_ids`` each piece has its ids, ``width`` bytes each: two are enough for a vocabulary of
+    up to 65,536 ids, and anything larger is refused then. ids_crc32 is of four bytes each in any case.
     """
+    if width not in (2, 4) or (width == 2 and max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) >= 1 << 16):
+        raise ValueError("ids don't fit into this width")
     if not 0 < most <= capacity:
         raise ValueError("pieces must fit into a sequence")
-    named = pieces(docs, tokenizer, id_col, text_col, end_id, capacity, most, with_ids)
+    named = pieces(docs, tokenizer, id_col, text_col, end_id, capacity, most, with_ids, width)
     # a written row number deals pieces evenly, however many of them are alike
     made = stage(named.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     count = made.count()

@@ -1,9 +1,12 @@
 """The pipeline's stages on a small folder, held against plain versions of what each decides."""
 
 import re
+import struct
 from collections import Counter
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from quillstone.llm import quality_rules
@@ -57,6 +60,10 @@ def test_stages(spark, folder):
     for r in packed:
         sums[r["sequence_id"]] += r["length"]
     assert max(sums.values()) <= 2048
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for k in (1, 30, 60, None):
+        ids = [i for r in sorted((r for r in packed if r["doc_id"] == k), key=lambda r: r["start"]) for i in struct.unpack(f"<{r['length']}H", r["ids"])]
+        assert ids == [*tokenizer.encode(texts[k], add_special_tokens=False).ids, 1]
 
 
 def test_whole_run_and_empty_tables(spark, folder, tmp_path):
@@ -91,3 +98,13 @@ def test_repeated_ids_with_different_texts(spark, folder):
     docs = spark.createDataFrame([(k, t, "en", "s", None if t is None else len(t)) for k, t in given], DOC)
     got = Counter((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, place).collect())
     assert got == Counter([(3, b), (5, a), (7, d), (-2, c + " end"), (9, None), (9, ""), (None, a), (None, a)])
+
+
+def test_unrelated_texts_of_one_id_stay(spark, folder):
+    """Whether ids repeat elsewhere changes nothing: rows are decided by their classes."""
+    place, rows = folder
+    a, b, c = (next(t for k, t, *_ in rows if k == n) for n in (1, 2, 3))
+    make = lambda given: spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in given], DOC)
+    assert P.near_duplicates(spark, make([(1, a), (1, b), (2, c)]), place).count() == 3
+    got = P.near_duplicates(spark, make([(1, a), (1, a), (2, a + " tail"), (1, b), (3, c)]), place).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (1, b), (3, c)])
