@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import ngram_join, quality_rules, secret_scan
@@ -21,53 +21,59 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and the learned list keep; the list is learned from this sf_dir's labels."""
+    """Documents that the base and the learned list keep; the list is learned from this sf_dir's labels.
+
+    Null and empty texts fail the base and go; repeated rows get the same verdict; ids aren't looked at but to find
+    labels. Without labels the list is empty, and the base alone decides. An empty table gives no rows.
+    """
     rules = quality_list(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.keep(docs.select(COLUMNS), rules).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id.
+    """Of each class of near-duplicates the document with the least id; rows are decided one by one.
 
-    Documents without an id can't be told apart by one, and stay. Where ids repeat, an id's different texts are
-    documents of their own, each decided by its own class, and of repeated rows (same id, same text) one stays.
+    Every row gets a written number, so that rows of one id are told apart: an id's different texts are documents of
+    their own, each decided by its class, and of repeated rows (same id, same text) one stays. Documents without an id
+    stay, and no other goes on their account. Null and empty texts are in no class. An empty table gives no rows.
     """
-    docs = docs.select(COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.join(_gone(docs, "doc_id").hint("merge"), "doc_id", "left_anti").select(COLUMNS)
-    keyed = docs.withColumn("row_key", _row_key())
-    kept = keyed.join(_gone(keyed, "row_key").hint("merge"), "row_key", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["row_key"]).unionByName(kept.where("doc_id is null")).select(COLUMNS)
-
-
-def _gone(docs: DataFrame, key: str) -> DataFrame:
-    """Keys that aren't the least of their class."""
-    found = ngram_join.join(docs, id_col=key, width=5, similarity=0.8).where(f"{key} is not null").select(key, "class_id")
-    return stage(found, "pipeline-classes").where(f"{key} != class_id").select(key).distinct()
-
-
-def _row_key() -> Column:
-    """A key of id and text that sorts as the ids do; null where the id is. Ids of either sign are 16 hex digits."""
-    id_ = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return F.concat(id_, F.coalesce(F.md5("text"), F.lit("")))
+    numbered = stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    # ids order the rows of a class, and those without one come last
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    found = ngram_join.join(numbered.select(key.alias("key"), "text"), id_col="key", width=5, similarity=0.8)
+    gone = found.where("key.row != class_id.row").select("key.*")
+    wordless = numbered.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    alike = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.md5("text"), F.lit("none"))))
+    wordless = wordless.select("doc_id", alike.alias("alike"), "row")
+    least = wordless.groupBy("alike").agg(F.min("row").alias("least"))
+    again = wordless.join(least.hint("merge"), "alike").where("row != least")
+    gone = stage(gone.select("doc_id", "row").unionByName(again.select("doc_id", "row")).where("doc_id is not null").select("row"), "pipeline-gone")
+    return numbered.join(gone.hint("merge"), "row", "left_anti").select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated windows; a text that loses none stays as it is."""
+    """Documents without the words of repeated windows; a text that loses none stays as it is.
+
+    Repeated rows are occurrences of their own; null texts stay null; an empty table gives no rows.
+    """
     done = dedup_substrings(docs.select(COLUMNS), window=35, with_text=True)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
     return _changed(done.withColumn("new", text))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced; null texts stay null."""
+    """Documents with their secrets replaced; null texts stay null. Each row is decided alone; an empty table gives no rows."""
     done = secret_scan.scan(docs.select(COLUMNS), secret_model(spark, docs), redact=True)
     return _changed(done.withColumn("new", F.when(F.col("text").isNotNull(), F.col("redacted"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 ids."""
-    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048)
+    """Pieces of all documents in sequences of at most 2048 ids, with the ids: little-endian, two bytes each.
+
+    Null and empty texts have their end id alone; repeated rows and null ids are packed like any others; an empty
+    table gives no rows. A sequence is its pieces' ids by offset.
+    """
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048, with_ids=True, width=2)
 
 
 def _changed(docs: DataFrame) -> DataFrame:
