@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import global_counts as G
 from quillstone.llm import words as W
-from quillstone.llm.shared import groups_for, stage
+from quillstone.llm.shared import drop, groups_for, stage
 
 #: Texts of one block that meet in a task, at most about so many.
 BLOCK_TEXTS = 2000
@@ -237,7 +237,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = stage(small.select("x.u", "x.v").where("u != v").distinct(), "stars")
+        done, e = e, stage(small.select("x.u", "x.v").where("u != v").distinct(), "stars")
+        drop(done)
         now = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
@@ -329,6 +330,7 @@ def join(
         return pa.Table.from_arrays([pa.array(meet, pa.int64()), pa.array(packed, pa.binary())], schema=pair_schema)
 
     met = stage(bucketed.groupBy("bucket").applyInArrow(pairs, "meet long, pairs binary"), "ngram-pairs")
+    drop(found_entries)
 
     def who(key: tuple, table: pa.Table) -> pa.Table:
         keys = np.unique(_keys(table["pairs"]))
@@ -371,6 +373,7 @@ def join(
         return pa.Table.from_arrays([pa.array([have[k].tobytes() for k in some], pa.binary()), pa.array(n[some], pa.int64()), pa.array([have[root[k]].tobytes() for k in some], pa.binary())], schema=link_schema)
 
     linked = stage(met.groupBy("meet").cogroup(there.groupBy("meet")).applyInArrow(links, "key binary, n long, root binary"), "ngram-links")
+    drop(met, wanted)
     roots = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     counted = linked.groupBy("key").agg(F.sum("n").alias("n_links"))
     known = copies.select("key", "copy_id").join(counted, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))

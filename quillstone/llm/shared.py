@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +17,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in local tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on one machine."""
     named = spark.sparkContext.getConf().get(SETTING, None) or spark.conf.get(SETTING, None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"a cluster has to name a shared folder in {SETTING}")
         named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set(SETTING, named)
     return named.rstrip("/")
@@ -27,12 +32,56 @@ def fresh(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting that removes shuffle files when the query that wrote them has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OPEN: list[dict[str, SparkSession]] = []
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends there and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it again: lineage ends there and survives lost executors.
+
+    What was shuffled for it is removed when it is written; the session's setting stays as it was.
+    """
     spark = df.sparkSession
     path = fresh(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    for made in _OPEN[-1:]:
+        made[path] = spark
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*staged: DataFrame) -> None:
+    """Remove tables that ``stage`` wrote and that nothing reads any more: what was made from them is written."""
+    for df in staged:
+        _delete(df.sparkSession, _PLACES.pop(df))
+
+
+@contextmanager
+def scratch(*, keep: list[DataFrame]) -> Iterator[None]:
+    """Tables staged inside are removed at the end, but for those that are put into ``keep``."""
+    made: dict[str, SparkSession] = {}
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        stay = {_PLACES.get(df) for df in keep}
+        for path, spark in made.items():
+            if path not in stay:
+                _delete(spark, path)
 
 
 def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
