@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import ngram_join, quality_rules, secret_scan
 from quillstone.llm.packing import pack
 from quillstone.llm.queries import quality_list, secret_model, tokenizer_file
-from quillstone.llm.shared import stage
+from quillstone.llm.shared import scratch, stage
 from quillstone.llm.substring_dedup import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,24 +31,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id; rows are decided one by one.
+    """Of each class of near-duplicates the document with the least id, decided by id and text.
 
-    Every row gets a written number, so that rows of one id are told apart: an id's different texts are documents of
-    their own, each decided by its class, and of repeated rows (same id, same text) one stays. Documents without an id
-    stay, and no other goes on their account. Null and empty texts are in no class. An empty table gives no rows.
+    An id's different texts are documents of their own, each decided by its class, and of repeated rows (same id, same
+    text) one stays. Documents without an id stay, and no other goes on their account. Null and empty texts are in no
+    class. An empty table gives no rows.
     """
-    numbered = stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    # ids order the rows of a class, and those without one come last
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    found = ngram_join.join(numbered.select(key.alias("key"), "text"), id_col="key", width=5, similarity=0.8)
-    gone = found.where("key.row != class_id.row").select("key.*")
-    wordless = numbered.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    alike = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce(F.md5("text"), F.lit("none"))))
-    wordless = wordless.select("doc_id", alike.alias("alike"), "row")
-    least = wordless.groupBy("alike").agg(F.min("row").alias("least"))
-    again = wordless.join(least.hint("merge"), "alike").where("row != least")
-    gone = stage(gone.select("doc_id", "row").unionByName(again.select("doc_id", "row")).where("doc_id is not null").select("row"), "pipeline-gone")
-    return numbered.join(gone.hint("merge"), "row", "left_anti").select(COLUMNS)
+    same = F.coalesce(F.md5("text"), F.lit(""))
+    # one mark for each id and text, and for each row without an id
+    mark = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise(same)
+    # ids order the documents of a class, and those without one come last
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", same.alias("mark"))
+    keep: list[DataFrame] = []
+    with scratch(keep=keep):
+        found = ngram_join.join(docs.select(key.alias("key"), "text"), id_col="key", width=5, similarity=0.8)
+        gone = found.where("not key.unnamed and key != class_id").select("key.doc_id", "key.mark").distinct()
+        keep.append(stage(gone, "pipeline-gone"))
+    # repeated rows become one before the shuffle, which serves the join as well: an outer one, as an anti join would
+    # be moved below, to rows that are many still
+    single = docs.select(*COLUMNS, mark.alias("mark")).dropDuplicates(["doc_id", "mark"])
+    told = keep[0].withColumn("gone", F.lit(True)).hint("merge")
+    return single.join(told, ["doc_id", "mark"], "left").where("gone is null").select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
