@@ -268,8 +268,8 @@ def join(
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 grams, begin, keys = text_keys(part.column(2), width)
                 has = np.flatnonzero(np.diff(begin))
                 key, sketch = [None] * part.num_rows, [None] * part.num_rows
@@ -344,8 +344,8 @@ def join(
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 grams, begin, keys = text_keys(part.column(1), width)
                 same = [k for k, want in enumerate(part.column(0).to_pylist()) if keys[k].tobytes() == want]
                 held = [np.unique(grams[begin[k] : begin[k + 1]]).tobytes() for k in same]

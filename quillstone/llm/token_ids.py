@@ -22,6 +22,8 @@ import regex
 
 #: Kept words, and kept parts, for each Python worker.
 KEEP = 600_000
+#: Texts whose words are looked up together: few, so that their lists are small and stay in the cache.
+BLOCK = 64
 PACK = [struct.Struct(f"<{n}I") for n in range(24)]
 #: Fixed value: the published pattern of the pre-tokeniser of this family of vocabularies, white space as Unicode has it
 #: (Python's own takes a few control characters for it).
@@ -113,6 +115,9 @@ class Encoder:
         texts = [t or "" for t in texts]
         if not self.by_words:
             return self._whole(texts)
+        return [ids for k in range(0, len(texts), BLOCK) for ids in self._block(texts[k : k + BLOCK])]
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         loose = [k for k, t in enumerate(texts) if _LOOSE.search(t)]
         if loose:
