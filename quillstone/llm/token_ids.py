@@ -8,6 +8,7 @@ the pre-tokeniser's pattern, and the library's model encodes their new parts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -145,4 +146,6 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    made = Encoder(path)
+    gc.freeze()  # what a worker has loaded stays; the collector need not walk it again and again
+    return made
