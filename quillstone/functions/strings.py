@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns.
 LINK = r"\[([^\]]+)\]\([^\)]+\)"
-TAX_ID = r"\b(?<!\w-)(\d-?){8}\d\b(?!\.\d)"
+TAX_ID = r"(?<![A-Za-z0-9_])(?<![A-Za-z0-9_]-)([0-9]-?){8}[0-9](?![A-Za-z0-9_])(?!\.[0-9])"
+#: Keys of log records whose values aren't masked.
+UNMASKED_KEYS = ["account_key", "count", "created", "hostname", "process", "thread"]
+#: White space at either end, and what ends a line, in Unicode's sense and with the four separators of ASCII.
+ENDS = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 UUID_PARTS = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
 HEADING = "^(#+) (.*)"
 EDD_TAB_LABEL = r"(?m)^\s*\* #+"
@@ -15,7 +23,7 @@ EDD_EMPTY_ITEM = r"(?mU)^\s*(\w+\.|\*|\+|\-) (\w+\.|\*|\+|\-)\s*$"
 LIST_AFTER_TEXT = r"(?m)((?:^|\n)(?!\s*([-*+]|\d+\.)\s).+?)\n([ \t]*([-*+]|\d+\.)\s+)"
 INNER_ITEM = r"(?m)^ {2,3}([\-\+\*]) "
 POLICY_CLEANUP = [
-    (r"(?mU)^( *)[\*\|\-\+] (\w{1,2}+[.|)] )", "$1$2"),
+    (r"(?mU)^( *)[\*|\-|\+] (\w{1,2}+[\.|\)] )", "$1$2"),
     ("~~~~", ""),
     (r"(?m)^\*\*\*\*\n", ""),
     (r"(?m)^--- *\n", ""),
@@ -36,7 +44,7 @@ def remove_links(md: Column) -> Column:
 
 def resolve_urls(base: Column, md: Column) -> Column:
     """Links made absolute: from the root by the domain, others that have no scheme by the base."""
-    domain = F.concat(F.parse_url(base, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(base, F.lit("HOST")))
+    domain = F.concat(F.parse_url(base, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(base, F.lit("AUTHORITY")))
     quoted = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
     rooted = F.regexp_replace(md, F.lit(r"\]\(/"), F.concat(F.lit("]("), quoted(domain), F.lit("/")))
     folder = F.when(F.endswith(base, F.lit("/")), base).otherwise(F.concat(base, F.lit("/")))
@@ -99,10 +107,22 @@ def separators(md: Column) -> Column:
 
 
 def mask_tax_ids(text: Column) -> Column:
-    """Nine digits, with or without hyphens, masked, unless a word and a hyphen stand before or a decimal after."""
+    """Nine digits, with or without hyphens, masked, unless a word and a hyphen stand before or a decimal after.
+
+    Letters, digits and the underscore of ASCII make words; a letter beyond ASCII next to an id doesn't keep it.
+    """
     return F.regexp_replace(text, TAX_ID, "*********")
 
 
+def masked_values(record: Column) -> Column:
+    """A map of a log record's values with tax ids masked, but for keys whose values are known to be safe."""
+    return F.transform_values(record, lambda k, v: F.when(k.isin(UNMASKED_KEYS), v).otherwise(mask_tax_ids(v)))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, ENDS, "")
+
+
 def edd_fixes(md: Column) -> Column:
     """Known faults of one source's markdown: spaced dots, sublists without a list, headings and nothing as items."""
     md = F.replace(F.replace(md, F.lit(". . ."), F.lit("...")), F.lit("* + "), F.lit("    + "))
@@ -120,7 +140,7 @@ def policy_cleanup(md: Column) -> Column:
     """Faults of another source's markdown: bullets before numbers and notes, fences, rules, blank lines."""
     for pattern, instead in POLICY_CLEANUP:
         md = F.regexp_replace(md, pattern, instead)
-    return F.trim(md)
+    return stripped(md)
 
 
 def without_anchors(md: Column) -> Column:
@@ -205,7 +225,8 @@ def query_value(url: Column, key: str) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.get(F.split(F.trim(text), "\r\n|\n"), F.lit(0))
+    """The first line of what is left without white space at the ends."""
+    return F.get(F.split(stripped(text), LINE_END), F.lit(0))
 
 
 def token_length(text: Column) -> Column:
@@ -250,3 +271,30 @@ def readability(text: Column) -> dict[str, Column]:
     coleman = 0.0588 * (100.0 * letters / words) - 0.296 * (100.0 * sentences / words) - 15.8
     mean = (grade + fog + coleman) / 3.0
     return {"flesch_ease": ease, "flesch_kincaid": grade, "gunning_fog": fog, "coleman_liau": coleman, "average_grade": mean, "readable": (mean <= 12.0) & (ease >= 50.0)}
+
+
+def char_diffs(old: Column, new: Column) -> Column:
+    """(added, removed): characters that a line-by-line comparison of single characters marks as put in, and taken out."""
+
+    @F.pandas_udf("struct<added:int,removed:int>")
+    def count(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        signs = [[d[0] for d in difflib.ndiff(a or "", b or "")] for a, b in zip(old, new, strict=True)]
+        return pd.DataFrame({"added": [s.count("+") for s in signs], "removed": [s.count("-") for s in signs]}, dtype="int32")
+
+    return count(old, new)
+
+
+def marked_sentences(text: Column) -> Column:
+    """Sentences cut behind . ? and !, where the stop isn't part of a number, a web address, a title or an initial.
+
+    Stops that don't end a sentence are set aside first; closing quotes go with the sentence.
+    """
+    held = "\u0001"
+    t = F.regexp_replace(text, r"\s+", " ")
+    t = F.regexp_replace(t, r"\b(Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Inc|Ltd|Jr|Sr|Co)\.", f"$1{held}")
+    t = F.regexp_replace(t, r"\.(com|net|org|io|gov|edu|me)\b", f"{held}$1")
+    t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", held)
+    t = F.regexp_replace(t, r"(?<![A-Za-z])([A-Za-z])\.(?=[A-Za-z ])", f"$1{held}")
+    parts = F.split(t, r"(?<=[.?!])(?![.?!\"”])|(?<=[.?!][\"”])")
+    whole = F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(held), F.lit("."))))
+    return F.filter(whole, lambda p: p != "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Labels of datasets by their names in commands.
 DATASET_LABELS = {
     "ca_ftb": "CA FTB", "ca_public_charge": "Keep Your Benefits", "ca_wic": "WIC", "covered_ca": "Covered California", "edd": "CA EDD",
-    "imagine_la": "Benefits Information Hub", "irs": "IRS", "la_policy": "DPSS Policy", "ssa": "SSA",
+    "irs": "IRS", "la_policy": "DPSS Policy", "ssa": "SSA",
 }
 
 

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 DOCUMENT_KEY = ["source", "dataset", "program", "region"]
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that the rows don't have, so that nothing of theirs is replaced."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in a stated order, which ``dropDuplicates`` doesn't promise."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    r = unused(rows, "_r")
+    return rows.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(r) == 1).drop(r)
 
 
 def resume(items: DataFrame, loaded: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -88,7 +96,8 @@ def islands(rows: DataFrame, keys: list[str], order: str, same: Column, name: st
     """Rows with the number of their run; a run begins where ``same`` (over ``prev_*`` columns) doesn't hold."""
     w = Window.partitionBy(*keys).orderBy(order)
     new = F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    begins = unused(rows, "_new")
+    return rows.withColumn(begins, new).withColumn(name, F.sum(begins).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(begins)
 
 
 def flatten_schema(rows: DataFrame, sep: str = "_") -> DataFrame:

@@ -96,7 +96,7 @@ def list_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("h10_policy_cleanup", "SELECT item_id, '1. One' || chr(10) || 'a' || chr(10) || chr(10) || '**_Note_** ' || item_id AS md FROM benchmark")
 def policy_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     md = F.concat(F.lit("* 1. One\n~~~~a\n--- \n\n\n * ** _Note_** "), F.col("item_id").cast("string"), F.lit("\n"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.trim(S.policy_cleanup(md), F.lit(" \n")).alias("md"))
+    return table(spark, sf_dir, "benchmark").select("item_id", S.policy_cleanup(md).alias("md"))
 
 
 @register("h03_without_anchors", "SELECT item_id, 'see part and pane ' || item_id AS md FROM benchmark")

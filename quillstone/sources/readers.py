@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.operators.relational import first_by
+
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "main_content", "main_primary", "nonaccordion", "markdown", "h1", "h2", "md_file")] + [T.StructField("accordions", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
-#: Programs and regions of the sources, by dataset.
-INGEST = [
-    ("CA EDD", "employment", "California"), ("IRS", "tax credit", "US"), ("Keep Your Benefits", "mixed", "California"), ("CA FTB", "tax credit", "California"),
-    ("WIC", "wic", "California"), ("Covered California", "medical", "California"), ("DPSS Policy", "mixed", "California:LA County"), ("SSA", "social security", "US"),
-]
 
 
 def choose_input(paths: list[str], dataset: str) -> list[str]:
@@ -29,8 +26,7 @@ def json_items(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def first_of_each_url(items: DataFrame) -> DataFrame:
-    w = Window.partitionBy("url").orderBy("input_pos")
-    return items.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return first_by(items, ["url"], ["input_pos"])
 
 
 def stamped(items: DataFrame, dataset: str, program: str, region: str) -> DataFrame:

@@ -12,6 +12,8 @@ def work_dir(spark: SparkSession, tag: str) -> str:
     """A new place in the cluster's ``spark.checkpoint.dir``; in a temporary folder only where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

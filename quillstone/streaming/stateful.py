@@ -51,9 +51,11 @@ def assemble(parts: DataFrame, key: str = "message_id") -> DataFrame:
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, texts, last = ([], [], -1) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
+        known = set(seqs)
         for pdf in batches:
             for r in pdf.itertuples():
-                if r.seq not in seqs:
+                if r.seq not in known:
+                    known.add(int(r.seq))
                     seqs.append(int(r.seq))
                     texts.append(r.text)
                 if r.done:
