@@ -320,3 +320,29 @@ def subsections(md: str, base: tuple[str, ...] = ()) -> list[tuple[tuple[str, ..
             k += 1
         out.append((base + p.headings, text))
     return out
+
+
+def basic_subsections(md: str, base: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """(headings, text) of the stretches between blank lines; a heading stands over all up to one of its level or above."""
+    over: dict[int, str] = {}
+    out: list[tuple[tuple[str, ...], str]] = []
+    for part in md.split("\n\n"):
+        if not part:
+            continue
+        if part.startswith("#"):
+            level = len(part) - len(part.lstrip("#"))
+            text = part[level:]
+            if not text.startswith(" "):
+                raise ValueError(f"not a heading: {part}")
+            over = {k: v for k, v in over.items() if k < level} | {level: text[1:]}
+        else:
+            out.append(((*base, *(over[k] for k in sorted(over) if over[k])), part))
+    return out
+
+
+def subsections_or_basic(md: str, base: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], str]]:
+    """Citable spans by the tree, or between blank lines where the tree can't be had; other errors are errors."""
+    try:
+        return subsections(md, base)
+    except RuntimeError:
+        return basic_subsections(md, base)

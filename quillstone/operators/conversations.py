@@ -57,6 +57,33 @@ def cited_documents(citations: DataFrame) -> DataFrame:
     )
 
 
+def exportable(threads: DataFrame) -> DataFrame:
+    """Threads that have steps and don't come from the tagged front end; a missing list of tags is no tag."""
+    tagged = F.coalesce(F.array_contains("tags", "chainlit"), F.lit(False))
+    return threads.where((F.coalesce(F.size("steps"), F.lit(0)) > 0) & ~tagged)
+
+
+def citation() -> Column:
+    """The eight fields of a citation, from a row of a subsection with its document."""
+    from quillstone.functions.strings import highlighted_uri
+
+    return F.struct(
+        F.concat(F.lit("citation-"), "subsection_id").alias("citation_id"), F.col("document_id").alias("source_id"), F.col("document_name").alias("source_name"), F.col("dataset").alias("source_dataset"),
+        "page_number", highlighted_uri(F.col("document_source"), F.col("text")).alias("uri"), F.col("text_headings").alias("headings"), F.col("text").alias("citation_text"),
+    )
+
+
+def retrieval_metadata(found: DataFrame, key: str, system: Column, response: Column) -> DataFrame:
+    """(key, m): system prompt, chunks and subsections in order of rank, and the raw response, for each answer.
+
+    ``found``: key, rank, chunk_id, document_name, score, text.
+    """
+    chunks = F.sort_array(F.collect_list(F.struct("rank", "document_name", "chunk_id", "score")))
+    parts = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_name", "text")))
+    rows = found.groupBy(key).agg(chunks.alias("chunks"), parts.alias("subsections"), response.alias("raw_response"))
+    return rows.select(key, F.struct(system.alias("system_prompt"), "chunks", "subsections", "raw_response").alias("m"))
+
+
 def linked_answer(answer: Column) -> Column:
     """Citations as superscript links to their places."""
     return F.regexp_replace(answer, r" ?\(citation-(\d+)\)", '<sup><a href="#citation-$1">$1</a></sup>')

@@ -56,6 +56,11 @@ def upsert(table: DataFrame, new: DataFrame, key: str, fixed: tuple[str, ...] =
     return both.select(*out)
 
 
+def deleted(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``table`` without the rows whose key is in ``gone``."""
+    return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def page(rows: DataFrame, order: list[str | Column], number: int, size: int = 25) -> tuple[DataFrame, int]:
     """One page, counted from 1, and how many there are; beyond the last it is empty."""
     if size <= 0:

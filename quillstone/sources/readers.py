@@ -51,7 +51,7 @@ def with_override(items: DataFrame, overrides: DataFrame, key: str, column: str)
 
 def text_files(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:
     """(path, content) of whole files, sorted by path when collected."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
