@@ -27,7 +27,7 @@ from quillstone.llm import words as W
 from quillstone.llm.shared import drop, groups_for, stage
 
 #: Texts of one block that meet in a task, at most about so many.
-BLOCK_TEXTS = 2000
+BLOCK_TEXTS = 600
 #: Standard deviations that a sketch may lie below the similarity.
 SLACK = 5.5
 #: Sketches of one bucket that a tile's side holds, and how many buckets at most count as hot: 16 bytes each are broadcast.
