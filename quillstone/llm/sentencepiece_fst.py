@@ -5,7 +5,8 @@ maps other than identity are refused), the lexicon (a trie of all pieces, with a
 character that is no piece), and an order acceptor over pairs of neighbouring pieces. An input is composed with them
 position by position; the encoding is the path of least weight in the tropical semiring.
 
-* Unigram models: lexicon arcs weigh minus the piece's score, the order acceptor takes every pair.
+* Unigram models: lexicon arcs weigh minus the piece's score, the order acceptor takes every pair. The bytes of a
+  character that is no piece weigh ten more than the worst piece, as the library has it.
 * BPE models: merging is not a sum of scores. A sequence of pieces is what merging yields exactly if each two
   neighbours are what merging yields for their joined text, so lexicon arcs weigh 0 and the acceptor holds exactly
   those pairs (found by merging the short joined text, then remembered). One path is left.
@@ -96,6 +97,7 @@ class Transducer:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces")
         self.text = [p[0] for p in pieces]
+        self.unknown = 0.0 if self.kind == BPE else 10.0 - min((score for _, score, kind in pieces if kind == NORMAL), default=0.0)
         if any(MARK in t.lstrip(MARK) or ("\n" in t) for t in self.ids):
             raise ValueError("pieces that cross words are not supported")
         self.trie = ahocorasick.Automaton()
@@ -154,8 +156,8 @@ class Transducer:
                         continue
                     best = weight[s] + w
                     last[e + 1] = (s, i)
-                if best is None and weight[e] is not None and unit[e] not in self.ids:
-                    best = weight[e] + (0.0 if bpe else 1e6)
+                if weight[e] is not None and unit[e] not in self.ids and (best is None or (not bpe and weight[e] + self.unknown < best)):
+                    best = weight[e] + self.unknown
                     last[e + 1] = (e, tuple(self.bytes[b] for b in unit[e].encode()))
                 weight[e + 1] = best
             ids: list[int] = []
@@ -270,8 +272,8 @@ def compiled(path: str) -> Transducer:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary, n_ids, ids_crc32) of each text; ids are little-endian unsigned 32-bit integers.
 
-    Null and empty texts have no ids. Rows are independent: repeated rows and null ids stay as they are, other
-    columns are ignored. ``model`` is a path that every executor has.
+    Null and empty texts have no ids; texts of any length are encoded whole. Rows are independent: repeated rows and
+    null ids stay as they are, other columns are ignored, and an empty table gives no rows. ``model`` is a path that every executor has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -582,3 +582,58 @@ def test_a_table_s_row_columns_stay(spark, docs):
     kept = quality_rules.keep(named, [])
     assert {"row", "_row"} <= set(kept.columns)
     assert kept.count() > 0
+
+
+def unigram_model(scores):
+    """A unigram model file by hand: an unknown piece, all bytes, and pieces with scores; spaces kept, no character map."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    def field(number, data):
+        return varint(number << 3 | 2) + varint(len(data)) + data
+
+    def piece(text, score, kind):
+        return field(1, field(1, text.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + varint(3 << 3) + varint(kind))
+
+    pieces = piece("<unk>", 0.0, 2) + b"".join(piece(f"<0x{b:02X}>", 0.0, 6) for b in range(256)) + b"".join(piece(t, v, 1) for t, v in scores.items())
+    trainer = varint(3 << 3) + varint(1) + varint(35 << 3) + varint(1) + varint(40 << 3) + varint(0)
+    normaliser = varint(3 << 3) + varint(1) + varint(4 << 3) + varint(0) + varint(5 << 3) + varint(1)
+    return pieces + field(2, trainer) + field(3, normaliser)
+
+
+UNIGRAM = {"▁": -3.1, "a": -2.3, "b": -2.9, "ab": -4.4, "ba": -6.05, "abc": -5.2, "▁a": -4.7, "▁ab": -5.85, "bb": -40.0, "cb": -6.6, "aab": -30.25}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc é", max_size=9))
+def test_unigram_paths_are_the_least_of_all(text):
+    data = unigram_model(UNIGRAM)
+    fst = sentencepiece_fst.Transducer(data)
+    ids = fst.encode([text])[0]
+    ids = list(struct.unpack(f"<{len(ids) // 4}I", ids))
+    number = {t: 257 + k for k, t in enumerate(UNIGRAM)}
+    worst = 10 - min(UNIGRAM.values())
+    shown = "▁" + text.replace(" ", "▁") if text else ""
+
+    def paths(at):
+        if at == len(shown):
+            yield 0.0, []
+            return
+        steps = [(-UNIGRAM[shown[at:e]], [number[shown[at:e]]], e) for e in range(at + 1, len(shown) + 1) if shown[at:e] in UNIGRAM]
+        if shown[at] not in UNIGRAM:
+            steps.append((worst, [1 + b for b in shown[at].encode()], at + 1))
+        for weight, step, e in steps:
+            for rest, more in paths(e):
+                yield weight + rest, step + more
+
+    best = sorted(paths(0), key=lambda p: p[0])
+    if len(best) > 1 and best[1][0] - best[0][0] < 1e-4:
+        return  # a tie
+    assert ids == best[0][1]
+    assert fst.decode(ids) == text
+    assert sentencepiece.SentencePieceProcessor(model_proto=data).encode(text) == ids
