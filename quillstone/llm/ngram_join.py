@@ -279,6 +279,7 @@ def join(
                         key[k] = keys[k].tobytes()
                         sketch[k] = s[i].tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["id", "h", "key", "sketch"])
+        pa.default_memory_pool().release_unused()
 
     sketch = stage(plain.mapInArrow(sketched, f"id {id_type}, h long, key binary, sketch binary"), "ngram-sketches")
     # equal keys have equal sketches, so that any will do; any row of a copy has its text

@@ -34,6 +34,8 @@ def fresh(spark: SparkSession, tag: str) -> str:
 
 #: Spark's own setting that removes shuffle files when the query that wrote them has ended.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while a table is written: texts are long, and both sides of a Python worker hold a batch.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _OPEN: list[dict[str, SparkSession]] = []
 
@@ -41,16 +43,18 @@ _OPEN: list[dict[str, SparkSession]] = []
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends there and survives lost executors.
 
-    What was shuffled for it is removed when it is written; the session's setting stays as it was.
+    What was shuffled for it is removed when it is written; the session's settings stay as they were.
     """
     spark = df.sparkSession
     path = fresh(spark, tag)
-    before = spark.conf.get(CLEAN, "false")
+    before = {key: spark.conf.get(key) for key in (CLEAN, BATCH)}
     spark.conf.set(CLEAN, "true")
+    spark.conf.set(BATCH, BATCH_ROWS)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path
     for made in _OPEN[-1:]:

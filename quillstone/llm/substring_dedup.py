@@ -255,6 +255,8 @@ def _whole(step, schema: pa.Schema):
     def run(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         if table.num_rows == 0:
             return schema.empty_table()
-        return step(key, table, answers)
+        made = step(key, table, answers)
+        pa.default_memory_pool().release_unused()  # of the groups before
+        return made
 
     return run

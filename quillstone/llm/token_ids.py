@@ -111,6 +111,12 @@ class Encoder:
         if other:
             self._learn(kept, other, " ")
 
+    def forget(self) -> None:
+        """Let go of the kept words: a worker that waits for its next task then holds little beside the vocabulary."""
+        if self.by_words:
+            for kept in (self.after, self.first, self.parts):
+                kept.clear()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty and has none."""
         texts = [t or "" for t in texts]
