@@ -76,7 +76,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have their end id alone; repeated rows and null ids are packed like any others; an empty
     table gives no rows. A sequence is its pieces' ids by offset.
     """
-    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048, with_ids=True, width=2)
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, capacity=2048, with_ids=True, width=2, forget=True)
 
 
 def _changed(docs: DataFrame) -> DataFrame:
