@@ -13,8 +13,10 @@ from quillstone.functions import citations as C
 from quillstone.functions import html as H
 from quillstone.functions import markdown as M
 from quillstone.functions import pdf as P
+from quillstone.functions import tree as TR
 
 PAGE = "struct<title:string,markdown:string,headings:array<string>,links:array<string>>"
+TREE_CHUNK = "array<struct<split_index:int,chunk_id:string,node_ids:array<string>,headings:array<string>,content:string,tokens:int,text_to_encode:string>>"
 CHUNK = "array<struct<split_index:int,headings:array<string>,content:string,tokens:int,text_to_encode:string>>"
 SPAN = "array<struct<headings:array<string>,text:string>>"
 CITED = "struct<response:string,subsections:array<struct<id:string,chunk_id:string,subsection_index:int,text:string>>>"
@@ -82,6 +84,42 @@ def chunk_documents(docs: DataFrame, md: str, most: int, length: Callable[[str],
     return rows.select(*docs.columns, "num_splits", F.explode("_chunks").alias("_c")).select(*docs.columns, "num_splits", "_c.*")
 
 
+def tree_chunks(docs: DataFrame, md: str, most: int, name: str | None = None, length: Callable[[str], int] = M.word_count) -> DataFrame:
+    """A row for each chunk of the tree of headings, lists and tables: split_index, chunk_id, node_ids, headings,
+    content, tokens, text_to_encode.
+
+    ``name`` is a column with the document's name, which then stands over all headings. Null and empty documents have
+    no chunks; headings that leave no room for any text below them are an error.
+    """
+
+    @F.pandas_udf(TREE_CHUNK)
+    def cut(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                [
+                    {"split_index": k, "chunk_id": c.id, "node_ids": list(c.node_ids), "headings": list(c.headings), "content": c.markdown, "tokens": c.length, "text_to_encode": c.to_embed}
+                    for k, c in enumerate(TR.tree_chunks(t or "", most, length, n or ""))
+                ]
+                for t, n in zip(texts, names, strict=True)
+            ],
+            dtype=object,
+        )
+
+    made = cut(md, F.col(name) if name else F.lit(""))
+    return docs.select("*", F.explode(made).alias("a chunk of the tree")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("`a chunk of the tree`.*"))
+
+
+def tree_nodes(docs: DataFrame, md: str) -> DataFrame:
+    """A row for each document with the JSON of its tree, the ids of its nodes in order, and what is wrong with it (nothing)."""
+
+    @F.pandas_udf("ast string, node_ids array<string>, faults array<string>")
+    def build(texts: pd.Series) -> pd.DataFrame:
+        trees = [TR.parse(t or "") for t in texts]
+        return pd.DataFrame({"ast": [TR.as_json(t) for t in trees], "node_ids": [[n.id for n in t.walk()] for t in trees], "faults": [TR.faults(t) for t in trees]})
+
+    return docs.select("*", build(md).alias("a tree")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("`a tree`.*"))
+
+
 def subsections(chunks: DataFrame, content: str = "content", headings: str = "headings") -> DataFrame:
     """A row for each citable span of each chunk: subsection_index, text, text_headings."""
 

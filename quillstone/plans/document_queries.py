@@ -68,6 +68,30 @@ def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_chunks(spark, sf_dir).agg(F.countDistinct("page_id").alias("pages"), F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("tokens") > 120).alias("too_long"))
 
 
+@register("c02_c10_tree_chunks")
+def tree_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = D.tree_chunks(_markdown(spark, sf_dir).select("page_id", "title", "markdown"), "markdown", 120, "title")
+    return chunks.select("page_id", "split_index", "chunk_id", F.array_join("node_ids", " ").alias("node_ids"), F.array_join("headings", " > ").alias("headings"), "content", "tokens", "text_to_encode")
+
+
+@register("m07_m11_page_trees")
+def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = D.tree_nodes(_markdown(spark, sf_dir).select("page_id", "markdown"), "markdown")
+    return trees.select("page_id", "ast", F.size("node_ids").alias("n_nodes"), F.size("faults").alias("n_faults"))
+
+
+@register("m10_headings_by_level", """
+    SELECT conv_id, count(*) FILTER (turn % 3 = 0) AS h1, count(*) FILTER (turn % 3 = 1) AS h2, count(*) FILTER (turn % 3 = 2) AS h3,
+           count(*) AS sections, count(*) AS paragraphs FROM conversations GROUP BY conv_id""")
+def headings_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in the trees of conversations, where each turn is a paragraph below a heading of one of three levels."""
+    said = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), F.col("role"), F.lit("\n\nSaid: "), F.regexp_replace("text", r"\s+", " "))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("md")))).alias("turns"))
+    trees = D.tree_nodes(turns.select("conv_id", F.array_join("turns.md", "\n\n").alias("md")), "md")
+    count = lambda prefix, name: F.size(F.filter("node_ids", lambda x: x.startswith(prefix))).cast("long").alias(name)
+    return trees.select("conv_id", count("H1_", "h1"), count("H2_", "h2"), count("H3_", "h3"), count("_S", "sections"), count("P_", "paragraphs"))
+
+
 @register("r01_r04_subsections")
 def page_subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = D.chunk_documents(_markdown(spark, sf_dir).select("page_id", "markdown"), "markdown", 120)
