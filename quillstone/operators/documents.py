@@ -89,7 +89,7 @@ def tree_chunks(docs: DataFrame, md: str, most: int, name: str | None = None, le
     content, tokens, text_to_encode.
 
     ``name`` is a column with the document's name, which then stands over all headings. Null and empty documents have
-    no chunks; headings that leave no room for any text below them are an error.
+    no chunks. Of headings that take over half a chunk ``text_to_encode`` has the beginning; ``headings`` has them whole.
     """
 
     @F.pandas_udf(TREE_CHUNK)
