@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstone.llm import ngram_join, permutation_index, pii, quality_rules, secret_scan, sentencepiece_fst, sstable
+from quillstone.llm import dual_tree, lloyd, ngram_join, norm_buckets, permutation_index, pii, quality_rules, secret_scan, sentencepiece_fst, sstable
 from quillstone.llm.packing import pack
 from quillstone.llm.sharding import shuffle_shards
 from quillstone.llm.substring_dedup import dedup_substrings
@@ -90,6 +91,22 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_plain_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components, after three rounds from 16 of them."""
+    return lloyd.cluster(_table(spark, sf_dir, "embeddings"), clusters=16, rounds=3, dims=64, scale=64)
+
+
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer products of every vector whose id is divisible by 50."""
+    return norm_buckets.search(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
+def op13_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; each seventh id has the next label."""
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return dual_tree.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), every=100)
+
+
 QUERIES = {
     "op1_boosted_pii": op1_boosted_pii,
     "op2_two_pass_shuffle": op2_two_pass_shuffle,
@@ -101,6 +118,9 @@ QUERIES = {
     "op8_decision_list": op8_decision_list,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_permutation_index": op10_permutation_index,
+    "op11_plain_lloyd": op11_plain_lloyd,
+    "op12_norm_buckets": op12_norm_buckets,
+    "op13_dual_tree": op13_dual_tree,
 }
 
 #: Words of each text, their five-word n-grams (all words of a shorter text), exact Jaccard similarities of texts with
@@ -122,7 +142,43 @@ _NGRAM_ORACLE = """
     FROM k JOIN c USING (key) LEFT JOIN least_id ON least_id.x = c.copy_id LEFT JOIN links ON links.x = c.copy_id
 """
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _lloyd_oracle(rounds: int = 3) -> str:
+    """A step of assignment for each round and one more; centroids are lists of whole numbers."""
+    steps = [
+        f"""r AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {_FINITE})""",
+        """c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INT AS c, v FROM r WHERE vec_id IS NOT NULL ORDER BY c LIMIT 16)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT n, vec_id, v, p[2]::INT AS cluster, p[1] AS distance FROM (SELECT n, any_value(r.vec_id) AS vec_id, any_value(r.v) AS v,
+            min([list_sum(list_transform(list_zip(r.v, c{k}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c]) AS p FROM r CROSS JOIN c{k} GROUP BY n))"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""s{k} AS (SELECT cluster, i, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM a{k}) GROUP BY cluster, i),
+                c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{k}.v) AS v FROM c{k} LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM s{k} GROUP BY cluster) m ON m.cluster = c{k}.c)"""
+            )
+    return f"""WITH {", ".join(steps)} SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = cluster"""
+
+
+#: Rows that take part, their components times 256, and products of pairs, which are exact as doubles.
+_WHOLE = f"""w AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {_FINITE})"""
+
 ORACLES = {
+    "op11_plain_lloyd": _lloyd_oracle(),
+    "op12_norm_buckets": f"""
+        WITH {_WHOLE}, p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM w q JOIN w c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5""",
+    "op13_dual_tree": f"""
+        WITH {_WHOLE}, l AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM w WHERE label IS NOT NULL),
+        p AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM l a JOIN l c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+        f AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id))::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM f JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5""",
     "op4_ngram_jaccard": _NGRAM_ORACLE,
     "op6_substring_dedup": """
         WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM documents),
