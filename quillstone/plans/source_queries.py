@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillstone.catalog import register, table
 from quillstone.functions import strings as S
 from quillstone.operators import relational as R
-from quillstone.sources import readers, writers
-from quillstone.streaming.run import fan_out, file_stream, work_dir
+from quillstone.sources import readers, versions, writers
+from quillstone.streaming.run import fan_out, file_stream, stored, work_dir
 
 
 @register("s01_s02_merged_json_items", "SELECT url, 'Page ' || page_id AS title, html AS markdown FROM pages")
@@ -94,8 +94,9 @@ def logged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), (F.col("quality") == 1).cast("string").alias("value"))
     batch = S.uuid_of(F.lit("0.1"), F.lit("25"), F.lit("all"))
     summary = table(spark, sf_dir, "labels").agg(F.round(F.avg("quality"), 6).alias("value")).select(batch.alias("key"), F.col("value").cast("string").alias("value"))
-    writers.log_results(results, summary, place, "2024-01-02", "b1")
-    read = lambda part: spark.read.schema("key string, value string").json(f"{place}/2024-01-02/b1/{part}").withColumn("part", F.lit(part))
+    config = versions.batch_config("b1", 25, samples=results.count(), commit="0" * 40)
+    versions.log_batch(config, results, summary, place, "2024-01-02")
+    read = lambda part: versions.logged(spark, place, "2024-01-02", "b1", part, "key string, value string").withColumn("part", F.lit(part))
     return read("results").unionByName(read("metrics")).select("part", "key", "value")
 
 
@@ -124,7 +125,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = fan_out(stream, f"{place}/primary", [f"{place}/other", "nowhere://x/y"], "fan-out")
     if not failed:
         raise AssertionError("a store that isn't there was written")
-    read = lambda s: spark.read.parquet(f"{place}/{s}").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).select(F.lit(s).alias("store"), "n", "ids")
+    read = lambda s: stored(spark, f"{place}/{s}", "event_id long").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).select(F.lit(s).alias("store"), "n", "ids")
     return read("primary").unionByName(read("other"))
 
 

@@ -17,6 +17,22 @@ def streamed_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.drain(stateful.throttle(events, ["event_type", "user_id"], ["ts", "event_id"]), "throttle")
 
 
+#: A counter is forgotten between two of its events if, since the first of them, at least 128 other keys of the shard
+#: were written: those whose last event before the second lies after the first.
+@register("stream_x03_recent_counters", """
+    WITH e AS (SELECT event_id, user_id % 4 AS shard, event_type || ':' || user_id AS k, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS p FROM events),
+    n AS MATERIALIZED (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after FROM e WINDOW w AS (PARTITION BY shard, k ORDER BY p)),
+    d AS (SELECT a.event_id, count(b.event_id) AS others FROM n a JOIN n b ON b.shard = a.shard AND b.p > a.before AND b.p < a.p AND coalesce(b.after, 1000000000000) > a.p GROUP BY 1),
+    r AS (SELECT n.*, sum(CASE WHEN before IS NULL OR coalesce(others, 0) >= 128 THEN 1 ELSE 0 END) OVER (PARTITION BY shard, k ORDER BY p) AS life FROM n LEFT JOIN d USING (event_id)),
+    c AS (SELECT event_id, row_number() OVER (PARTITION BY shard, k, life ORDER BY p)::INT AS occurrence FROM r)
+    SELECT event_id, occurrence FROM c WHERE occurrence <= 10 OR (occurrence <= 100 AND occurrence % 10 = 0) OR occurrence % 100 = 0""")
+def recent_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four shards of users that keep 128 counters each; users whose counters were forgotten count anew."""
+    events = run.file_stream(spark, f"{sf_dir}/events.parquet", 1_000_000)
+    told = stateful.throttle_recent(events, ["event_type", "user_id"], ["ts", "event_id"], F.pmod("user_id", F.lit(4)), 128)
+    return run.drain(told, "recent", many_states=True)
+
+
 @register("x01_assembled_responses", "SELECT conv_id, turn, text AS response FROM conversations WHERE length(text) > 0")
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns cut into single words that stream, and put together again."""

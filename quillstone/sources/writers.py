@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,17 +77,27 @@ def latest_version(spark: SparkSession, path: str) -> str:
     return found
 
 
-def log_results(results: DataFrame, summary: DataFrame, path: str, date: str, batch: str) -> None:
-    """A batch's results and metrics by date; either both are there or neither."""
-    place = f"{path}/{date}/{batch}"
-    unfinished = f"{place}.unfinished"
-    results.write.mode("overwrite").json(f"{unfinished}/results")
-    summary.write.mode("overwrite").json(f"{unfinished}/metrics")
-    spark = results.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    here = jvm.org.apache.hadoop.fs.Path(unfinished)
-    if not here.getFileSystem(conf).rename(here, jvm.org.apache.hadoop.fs.Path(place)):
-        raise OSError(f"the batch could not be put at {place}")
+def save_files(files: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """Texts as files of the names that rows give them, below ``root``; how many. A file appears whole; a repeated name is one of its texts."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        n = 0
+        for pdf in batches:
+            for name, text in zip(pdf["path"], pdf["content"], strict=True):
+                folder, own = f"{base}/{name}".rsplit("/", 1)
+                hidden = f"{folder}/.{own}.{uuid.uuid4().hex}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(hidden) as out:
+                    out.write((text or "").encode())
+                store.move(hidden, f"{folder}/{own}")
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    named = files.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).alias("content"))
+    return named.mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def backup(spark: SparkSession, tables: dict[str, str], to: str, schema: str = "app") -> dict[str, int]:

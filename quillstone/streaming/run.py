@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.sources.commits import Committed
+
 
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new place in the cluster's ``spark.checkpoint.dir``; in a temporary folder only where that is unset."""
@@ -26,11 +30,30 @@ def file_stream(spark: SparkSession, path: str, files_at_once: int = 4) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(pattern)
 
 
-def drain(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is now, into a table with exactly one copy of each row, and read that."""
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which processors with several states need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def drain(stream: DataFrame, tag: str, mode: str = "append", many_states: bool = False) -> DataFrame:
+    """Run a stream over all there is now, into a table with exactly one copy of each row, and read that.
+
+    ``many_states``: the stream's processors need the RocksDB state store.
+    """
     spark = stream.sparkSession
     place = work_dir(spark, tag)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    with rocksdb(spark) if many_states else nullcontext():
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
@@ -55,22 +78,43 @@ def append_new(stream: DataFrame, path: str, keys: list[str], tag: str) -> None:
     query.awaitTermination()
 
 
-def fan_out(stream: DataFrame, primary: str, others: list[str], tag: str) -> list[str]:
-    """Write each batch to a primary store and then to others, whose failures are told but don't stop it."""
+def fan_out(stream: DataFrame, primary: str, others: list[str], tag: str, state: str | None = None) -> list[str]:
+    """Write each batch to a primary store and then to others, whose failures are told but don't stop it.
+
+    Each store has a ledger: a batch is a commit of its own (``sources.commits``), named after ``tag`` and its number,
+    so a batch that runs again, with the same ``state``, is skipped by the stores that have it and is whole in the
+    others: no store holds a row twice. Read a store with ``stored``; ``catch_up`` gives another store what it missed.
+    """
+    spark = stream.sparkSession
     failed: list[str] = []
 
-    def one(batch: DataFrame, _number: int) -> None:
+    def one(batch: DataFrame, number: int) -> None:
+        name = f"{tag}-{number:012d}"
         batch.persist()
         try:
-            batch.write.mode("append").parquet(primary)
+            Committed(spark, primary).append(name, batch)
             for other in others:
                 try:
-                    batch.write.mode("append").parquet(other)
+                    Committed(spark, other).append(name, batch)
                 except Exception as e:
                     failed.append(f"{other}: {type(e).__name__}")
         finally:
             batch.unpersist()
 
-    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", work_dir(stream.sparkSession, tag)).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", state or work_dir(spark, tag)).trigger(availableNow=True).start()
     query.awaitTermination()
     return failed
+
+
+def stored(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """The rows of a store that ``fan_out`` writes."""
+    return Committed(spark, store).rows(schema)
+
+
+def catch_up(spark: SparkSession, primary: str, other: str, schema: str) -> list[str]:
+    """Batches that another store lacks, copied from the primary one; which they were."""
+    have = set(Committed(spark, other).names())
+    lacking = [n for n in Committed(spark, primary).names() if n not in have]
+    for name in lacking:
+        Committed(spark, other).append(name, spark.read.schema(schema).parquet(Committed(spark, primary).get(name)["place"]))
+    return lacking

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: How long a counter is kept without events. The reference keeps the 128 last written counters instead; a size has no
-#: form in keyed state, so a time takes its place.
+#: How long a counter is kept without events, where a time is wanted rather than a number of counters.
 IDLE_MS = 24 * 3600 * 1000
 
 
@@ -42,6 +43,51 @@ def throttle(events: DataFrame, keys: list[str], order: list[str], event_id: str
     return events.groupBy(*keys).applyInPandasWithState(step, f"{event_id} {kind}, occurrence int", "n long", "append", timeout)
 
 
+class RecentCounters(StatefulProcessor):
+    """The counters of one shard, least recently written first, at most ``capacity``; beyond that the first is forgotten."""
+
+    def __init__(self, capacity: int, event_id: str, order: list[str]):
+        self.capacity, self.event_id, self.order = capacity, event_id, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getValueState("recent", "keys array<string>, counts array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        counts: OrderedDict[str, int] = OrderedDict()
+        if self.recent.exists():
+            keys, numbers = self.recent.get()
+            counts = OrderedDict(zip(keys, numbers, strict=True))
+        found: list[tuple] = []
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        for event, name in zip(batch[self.event_id], batch["counter"], strict=True):
+            n = counts.pop(name, 0) + 1
+            counts[name] = n  # now the most recently written
+            if len(counts) > self.capacity:
+                counts.popitem(last=False)
+            if told(n):
+                found.append((event, n))
+        self.recent.update((list(counts), list(counts.values())))
+        yield pd.DataFrame(found, columns=[self.event_id, "occurrence"]).astype({"occurrence": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_recent(events: DataFrame, keys: list[str], order: list[str], shard: Column, capacity: int = 128, event_id: str = "event_id") -> DataFrame:
+    """(event_id, occurrence) of the events that are told, with at most ``capacity`` counters for each shard.
+
+    A shard stands for one process: it keeps the counters that were written last, and a key whose counter was forgotten
+    counts from 1 again. So what is kept is bounded by shards times ``capacity``, however many keys there are; keys in
+    which a column is null are keys. Within a batch events count in order; a shard's rows of one batch are sorted in
+    one task, so the rows of a batch (files at once) should be bounded, too. Other columns are ignored. Needs the
+    RocksDB state store (``run.drain`` with ``many_states``).
+    """
+    counter = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    rows = events.select(F.col(event_id), *[F.col(c) for c in order if c != event_id], counter.alias("counter"), shard.cast("string").alias("shard"))
+    kind = events.schema[event_id].dataType.simpleString()
+    return rows.groupBy("shard").transformWithStateInPandas(RecentCounters(capacity, event_id, order), f"{event_id} {kind}, occurrence int", "Append", "None")
+
+
 def assemble(parts: DataFrame, key: str = "message_id") -> DataFrame:
     """(key, response) once a message's last part has come. ``parts``: key, seq, text, done.
 
