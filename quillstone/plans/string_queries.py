@@ -98,7 +98,7 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.us_date(F.col("ts")).alias("us_date"), F.to_date("ts").alias("day"))
 
 
-@register("f25_simple_list", "SELECT label, CASE WHEN count(*) = 1 THEN min(vec_id)::VARCHAR ELSE '[' || array_to_string(list(vec_id::VARCHAR ORDER BY vec_id), ', ') || ']' END AS items FROM embeddings WHERE vec_id < 15 GROUP BY label")
+@register("f25_simple_list", "SELECT label, CASE WHEN count(*) = 1 THEN min(vec_id)::VARCHAR ELSE '[' || array_to_string(list(vec_id::VARCHAR ORDER BY vec_id), ', ') || ']' END AS items FROM embeddings GROUP BY label")
 def simple_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("v"))
     return e.select("label", S.simple_list(F.transform("v", lambda x: x.cast("string"))).alias("items"))
