@@ -133,7 +133,7 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.export_rows(p)
 
 
-@register("e08_batch_answers", """SELECT conv_id AS pos, text AS question, 'about ' || length(text) AS answer, 'Doc' AS citation_1_name, 'A > B' AS citation_1_headings, 'src' AS citation_1_source, 'cited' AS citation_1_text, '1' AS attrib__n FROM conversations WHERE turn = 0""")
+@register("e08_batch_answers", """SELECT conv_id, turn, text AS question, 'about ' || length(text) AS answer, 'Doc' AS citation_1_name, 'A > B' AS citation_1_headings, 'src' AS citation_1_source, 'cited' AS citation_1_text, '1' AS attrib__n FROM conversations WHERE role = 'user'""")
 def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn's question, in the order of conversations and turns."""
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("pos"), F.col("text").alias("question"))
