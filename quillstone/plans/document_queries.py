@@ -136,8 +136,16 @@ def with_citations(text: Column, first: Column, most: int = 7) -> Column:
     return F.array_join(F.transform(_sentences(text), put), "")
 
 
-@register("w09_citation_order", """
-    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'citation-3,citation-1' ELSE 'citation-2' END AS cited FROM conversations""")
+#: Pieces of a text up to each mark, and the text with two citations before each mark, as ``with_citations`` puts them.
+PIECES = r"regexp_extract_all(text, '[^.?!]*[.?!]|[^.?!]+$')"
+CITED_SQL = (
+    f"array_to_string(list_transform({PIECES}, lambda s, i: CASE WHEN right(s, 1) IN ('.', '?', '!') THEN left(s, length(s) - 1) || ' (citation-' || (({{first}} + 3 * (i - 1)) % 7 + 1) || ')' "
+    "|| ' (citation-' || (({first} + 3 * (i - 1) + 1) % 7 + 1) || ')' || right(s, 1) ELSE s END), '')"
+)
+
+
+@register("w09_citation_order", rf"""
+    SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM (SELECT conv_id, turn, regexp_extract_all({CITED_SQL.format(first='(conv_id + turn)')}, '\((citation-\d+)\)', 1) AS l FROM conversations)""")
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = with_citations(F.col("text"), F.col("conv_id") + F.col("turn"))
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\((citation-\d+)\)"), F.lit(1)))
