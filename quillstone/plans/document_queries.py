@@ -152,7 +152,8 @@ def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("cited"))
 
 
-@register("r07_citations_behind_marks", "SELECT item_id, 'Text. (citation-1) (citation-2) More! (citation-3)' AS moved FROM benchmark")
+@register("r07_citations_behind_marks", rf"""
+    SELECT item_id, regexp_replace(regexp_replace({CITED_SQL.format(first='item_id')}, ' *((?: *\(citation-\d+\))+) *([.?!])', '\2 \1', 'g'), '^\s+|\s+$', '', 'g') AS moved FROM benchmark""")
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = with_citations(F.col("text"), F.col("item_id"))
     found = F.regexp_replace(text, r" *((?: *\(citation-\d+\))+) *([.?!])", "$2 $1")
