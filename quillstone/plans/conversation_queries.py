@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog import register, table
 from quillstone.functions import strings as S
 from quillstone.operators import conversations as C
-from quillstone.plans.document_queries import with_citations
+from quillstone.plans.document_queries import CITED_SQL, with_citations
 from quillstone.plans.relational_queries import pairs
 
 
@@ -75,7 +75,7 @@ def accordions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.accordions(C.cited_documents(_cited(spark, sf_dir)))
 
 
-@register("f29_f30_linked_answers", """SELECT item_id, 'Text.<sup><a href="#citation-' || item_id || '">' || item_id || '</a></sup>' AS html FROM benchmark""")
+@register("f29_f30_linked_answers", rf"""SELECT item_id, regexp_replace({CITED_SQL.format(first='item_id')}, ' ?\(citation-(\d+)\)', '<sup><a href="#citation-\1">\1</a></sup>', 'g') AS html FROM benchmark""")
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = with_citations(F.col("text"), F.col("item_id"))
     return table(spark, sf_dir, "benchmark").select("item_id", C.linked_answer(said).alias("html"))
