@@ -109,8 +109,21 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("conv_id", F.array_join(F.transform("x", lambda y: y["part"]), "\n\n").alias("context"))
 
 
-@register("r06_r11_simplified_citations", """
-    SELECT doc_id, 'First. (citation-1) Second. (citation-2)' AS response, 2 AS n_cited, 'x' || doc_id AS first_text FROM documents""")
+#: Of the two citations of each piece, those from 1 to 5 are known; 1 to 3 are of one chunk and 4 and 5 of another, so
+#: (1, 2), (2, 3) and (4, 5) become one, named by both numbers. Spaces around what is left out stay; those before
+#: citations that move go.
+_SIMPLE_SQL = rf"""
+    WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.?!]*[.?!]|[^.?!]+$') AS p FROM documents),
+    n AS (SELECT doc_id, p, list_transform(p, lambda x, i: CASE WHEN right(x, 1) IN ('.', '?', '!') THEN [(doc_id + 3 * (i - 1)) % 7 + 1, (doc_id + 3 * (i - 1) + 1) % 7 + 1] ELSE []::BIGINT[] END) AS two FROM s),
+    k AS (SELECT doc_id, p, two, list_transform(list_transform(two, lambda t: list_filter(t, lambda c: c <= 5)), lambda t: CASE WHEN t IN ([1, 2], [2, 3], [4, 5]) THEN ['000' || t[1] || '000' || t[2]] ELSE list_transform(t, lambda c: c::VARCHAR) END) AS names FROM n),
+    o AS (SELECT doc_id, p, two, names, list_filter(flatten(names), lambda x, i: list_position(flatten(names), x) = i) AS kept FROM k),
+    r AS (SELECT doc_id, p, kept, array_to_string(list_transform(p, lambda x, i: CASE WHEN len(two[i]) = 0 THEN x WHEN len(names[i]) = 0 THEN left(x, length(x) - 1) || '  ' || right(x, 1)
+        ELSE rtrim(left(x, length(x) - 1), ' ') || right(x, 1) || array_to_string(list_transform(names[i], lambda c: ' (citation-' || list_position(kept, c) || ')'), '') END), '') AS said FROM o)
+    SELECT doc_id, regexp_replace(said, '^\s+|\s+$', '', 'g') AS response, len(kept)::INT AS n_cited,
+        CASE WHEN length(kept[1]) = 1 THEN coalesce(p[kept[1]::INT], '') WHEN length(kept[1]) = 8 THEN coalesce(p[left(kept[1], 4)::INT], '') || chr(10) || chr(10) || coalesce(p[right(kept[1], 4)::INT], '') END AS first_text FROM r"""
+
+
+@register("r06_r11_simplified_citations", _SIMPLE_SQL)
 def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown citations go, two that follow each other become one, and numbers begin at 1.
 
