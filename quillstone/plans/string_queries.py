@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
 from quillstone.functions import strings as S
+from quillstone.operators.sentences import abbreviations, split_list, split_paragraph, with_sentences
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')"
 _UNIWORDS = "list_filter(regexp_split_to_array({}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'), lambda w: w <> '')"
@@ -155,3 +156,32 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f39_audit_selection", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY event_type")
 def audit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view", "purchase")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A piece of a line that has no room: its parts up to commas, semicolons and line breaks put together, or cut hard.
+_FOLD = """list_reduce(list_prepend({{'pieces': []::VARCHAR[], 'piece': '', 'line': '', 'cut': []::VARCHAR[]}}, {items}), lambda s, e: CASE
+    WHEN length(CASE WHEN s.piece <> '' THEN s.piece || {sep} || e.line ELSE e.line END) <= room THEN {{'pieces': s.pieces, 'piece': CASE WHEN s.piece <> '' THEN s.piece || {sep} || e.line ELSE e.line END, 'line': '', 'cut': []::VARCHAR[]}}
+    WHEN length(e.line) < room THEN {{'pieces': CASE WHEN s.piece <> '' THEN list_append(s.pieces, s.piece) ELSE s.pieces END, 'piece': e.line, 'line': '', 'cut': []::VARCHAR[]}}
+    ELSE {{'pieces': list_concat(CASE WHEN s.piece <> '' THEN list_append(s.pieces, s.piece) ELSE s.pieces END, e.cut), 'piece': '', 'line': '', 'cut': []::VARCHAR[]}} END)"""
+
+
+@register("lists_f15_f16_pieces", f"""
+    WITH t AS (SELECT conv_id, turn, string_split('The ' || role || ' says:' || chr(10) || text, chr(10)) AS lines FROM conversations WHERE text IS NOT NULL),
+    r AS (SELECT conv_id, turn, lines[1] AS intro, 200 - length(lines[1]) - len(lines) AS room, unnest(lines[2:]) AS line, unnest(range(len(lines) - 1)) AS n FROM t),
+    w AS (SELECT conv_id, turn, intro, room, n, line, list_transform(regexp_extract_all(line, '[,;\n]|[^,;\n]+'), lambda x: {{'pieces': []::VARCHAR[], 'piece': '', 'line': x, 'cut': list_transform(range(1, greatest(length(x), 1) + 1, room), lambda i: substr(x, i, room))}}) AS words FROM r),
+    c AS (SELECT conv_id, turn, intro, room, n, line, {_FOLD.format(items='words', sep="''")} AS f FROM w),
+    g AS (SELECT conv_id, turn, any_value(intro) AS intro, any_value(room) AS room, list({{'pieces': []::VARCHAR[], 'piece': '', 'line': line, 'cut': list_append(f.pieces, f.piece)}} ORDER BY n) AS items FROM c GROUP BY conv_id, turn),
+    p AS (SELECT conv_id, turn, intro, {_FOLD.format(items='items', sep='chr(10)')} AS f FROM g)
+    SELECT conv_id, turn, (i - 1)::INT AS pos, intro || chr(10) || list_append(f.pieces, f.piece)[i] AS piece FROM p, unnest(range(1, len(f.pieces) + 2)) AS u(i)""")
+def list_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lists behind a line that tells who speaks, in pieces of at most 200 characters, each with that line."""
+    said = F.concat(F.lit("The "), "role", F.lit(" says:\n"), "text")
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(split_list(said, 200)).alias("pos", "piece"))
+
+
+@register("paragraphs_f14_f16_pieces")
+def paragraph_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in pieces of at most 500 characters, by sentences as abbreviations of the whole corpus leave them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = with_sentences(docs, "text", abbreviations(docs, "text"), "doc_id")
+    return cut.select("doc_id", F.posexplode(split_paragraph(F.col("sentences"), F.col("text"), 500)).alias("pos", "piece"))
