@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from quillstone.llm.shared import groups_for, stage
 
 
+#: Window ranks up to as many are cut off before a shuffle (Spark's own default).
+SAMPLE = 1000
+
+
 def lift(x: np.ndarray, norm2: float) -> np.ndarray:
     """Vectors with a component that fills their squared norms up to ``norm2``."""
     rest = np.sqrt(np.maximum(norm2 - (x * x).sum(axis=1), 0.0))
@@ -90,7 +94,7 @@ def search(
     vectors, and a score that overflows is infinite, or not a number and last. Other columns are ignored, whatever
     their names. An empty table gives no rows.
 
-    Pivots come from the first ``2 * pivots`` distinct vectors by a hash: the only sample. In each block of
+    Pivots come from the first ``2 * pivots``, at most 1,000, distinct vectors of a width by a hash: the only sample. In each block of
     ``block_rows`` distinct vectors, the nearest ``share`` (and at least ``least``) by footrule are ranked exactly.
     """
     v = F.col("v")
@@ -102,14 +106,7 @@ def search(
     kept = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     hashed = F.xxhash64(F.lit(29), "v")
     distinct = stage(kept.groupBy("dim", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", hashed), "ann-vectors")
-    # for each width: how many vectors, their largest component, and with that as one their largest squared norm
-    largest = F.array_max(F.transform("v", F.abs))
-    by_width = {r["dim"]: (r["n"], r["most"]) for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(largest).alias("most")).collect()}
-    scale = F.create_map(*[F.lit(x) for dim, (_, most) in by_width.items() for x in (dim, most)])[F.col("dim")] if by_width else F.lit(1.0)
-    squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + (x / F.col("scale")) * (x / F.col("scale")))
-    tops = {r["dim"]: r["top"] for r in distinct.withColumn("scale", scale).groupBy("dim").agg(F.max(squares).alias("top")).collect()}
-    count = max([n for n, _ in by_width.values()], default=0)
-    blocks = groups_for(count, block_rows)
+    blocks = groups_for(distinct.count(), block_rows)
     dealt = distinct.withColumn("block", F.pmod(F.xxhash64(F.lit(31), "h"), F.lit(blocks)))
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", "dim", hashed.alias("h"))
     parts = groups_for(queries.count(), query_rows)
@@ -118,8 +115,9 @@ def search(
     # every part of the queries meets every block of the index: the stated query set against all rows
     asked = queries.withColumn("block", number(blocks))
     posted = dealt.withColumn("part", number(parts)).withColumn("pivot", F.lit(False))
-    # the sample of the pivots goes along with each block, so that the driver holds no vectors
-    sample = distinct.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("r") <= 2 * pivots)
+    # the sample of the pivots goes along with each block, so that the driver holds no vectors; ranks up to SAMPLE are
+    # cut off before the shuffle, so no task sorts all vectors of a width
+    sample = distinct.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v"))).where(F.col("r") <= min(2 * pivots, SAMPLE))
     sample = sample.withColumn("block", number(blocks)).withColumn("part", number(parts)).withColumn("ids", F.array(F.col("r").cast("long"))).withColumn("pivot", F.lit(True))
     columns = ["dim", "block", "part", "v", "ids", "pivot"]
     posted = posted.select(columns).unionByName(sample.select(columns))
@@ -133,16 +131,19 @@ def search(
         if index.num_rows == 0 or asked_.num_rows == 0:
             return result.empty_table()
         dim = key[0].as_py()
-        top, unit = tops[dim], 1.0 / by_width[dim][1] if by_width[dim][1] > 1e-300 else 1e300
         is_pivot = np.asarray(index["pivot"])
         place = np.array([x[0] for x in index["ids"].filter(pa.array(is_pivot)).to_pylist()])
         found_pivots = dense(index["v"].filter(pa.array(is_pivot)), dim)[np.argsort(place)]
         index = index.filter(pa.array(~is_pivot))
         if index.num_rows == 0:
             return result.empty_table()
-        pv = apart(lift(found_pivots * unit, top), pivots)
         x, q = dense(index["v"], dim), dense(asked_["v"], dim)
-        xs = x * unit
+        # with the largest component of the block and its pivots as one, the largest squared norm is what all are lifted to
+        largest = max(np.abs(x).max(), np.abs(found_pivots).max())
+        unit = 1.0 / largest if largest > 1e-300 else 1e300
+        xs, ps = x * unit, found_pivots * unit
+        top = max((xs * xs).sum(axis=1).max(), (ps * ps).sum(axis=1).max())
+        pv = apart(lift(ps, top), pivots)
         qs = q / np.abs(q).max(axis=1, keepdims=True)
         qs = qs / np.linalg.norm(qs, axis=1, keepdims=True)
         ids = index["ids"].to_pylist()
@@ -154,7 +155,7 @@ def search(
             for own, h, vector, turned, order in zip(asked_["id"].to_pylist(), asked_["h"].to_pylist(), q, qs, q_orders, strict=True):
                 rows_ = postings.nearest(order, most)
                 # one of them may be the query alone; rounding is far below the margin, but a sum that overflows isn't
-                if len(rows_) > k + 1 and by_width[dim][1] * np.abs(vector).max() < 1e300 / dim:
+                if len(rows_) > k + 1 and largest * np.abs(vector).max() < 1e300 / dim:
                     about = xs[rows_] @ turned
                     margin = 1e-9 * np.sqrt(top)
                     rows_ = rows_[about >= np.partition(about, len(about) - k - 1)[len(about) - k - 1] - margin]

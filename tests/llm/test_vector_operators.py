@@ -211,3 +211,11 @@ def test_registered_queries_agree_with_plain_versions(spark):
     assert sorted(tuple(r) for r in queries.op12_norm_buckets(spark, DATA).collect()) == plain_top(e, 50, 5, 256)
     moved = [(i, v, (g + 1) % 10 if i % 7 == 0 else g) for i, v, g in e]
     assert sorted(tuple(r) for r in queries.op13_dual_tree(spark, DATA).collect()) == plain_negatives(moved, 100, 5, 5)
+
+
+def test_no_task_sorts_all_vectors_of_a_width(spark):
+    """Pivots of a width are cut off before the shuffle: a limit of ranks stands below the exchange."""
+    from quillstone.llm import permutation_index
+
+    plan = permutation_index.search(table(spark, rows()))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [dim" in plan and f", {permutation_index.SAMPLE}, Partial" in plan
