@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
 from quillstone.operators import documents as D
+from quillstone.operators import folds
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,3 +227,46 @@ def unmatched_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = c.select(F.struct("conv_id", "turn").alias("text_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.concat("text", F.lit(" end")).alias("text"))
     _, left = D.match_styles(styles, texts)
     return left.select(F.col("style_id.conv_id").alias("page"), F.col("style_id.turn").alias("style_turn"))
+
+
+#: Two folds, one behind the other, a text of each document at a time; of what is put together the last row stands.
+_MERGED = """
+    WITH RECURSIVE c AS (SELECT conv_id % 5 AS doc_id, conv_id * 1000 + turn AS pos, CASE WHEN turn % 5 = 2 THEN text || chr(10) || '- ' WHEN turn % 4 = 3 THEN lower(text) ELSE text END AS text,
+        CASE WHEN turn % 7 = 6 THEN 'Title' WHEN role = 'user' THEN 'ListItem' ELSE 'NarrativeText' END AS type, 'h' || (conv_id // 10 % 3) AS headings, (conv_id % 3 + turn)::INT AS page FROM conversations),
+    t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM c),
+    f AS (SELECT doc_id, n, pos, text, type, headings, page FROM t WHERE n = 1
+        UNION ALL SELECT doc_id, n, CASE WHEN how > 0 THEN fpos ELSE pos END, CASE how WHEN 2 THEN ftext || text WHEN 1 THEN ftext || chr(10) || text ELSE text END, CASE how WHEN 2 THEN ftype WHEN 1 THEN 'List' ELSE type END,
+            CASE WHEN how > 0 THEN fheadings ELSE headings END, CASE WHEN how > 0 THEN fpage ELSE page END
+        FROM (SELECT t.*, f.pos AS fpos, f.text AS ftext, f.type AS ftype, f.headings AS fheadings, f.page AS fpage,
+            CASE WHEN f.text LIKE '%' || chr(10) || '- ' AND f.type IN ('ListItem', 'List') AND t.type = 'NarrativeText' THEN 2 WHEN t.type = 'ListItem' AND t.headings = f.headings THEN 1 ELSE 0 END AS how FROM f JOIN t ON t.doc_id = f.doc_id AND t.n = f.n + 1)),
+    l AS MATERIALIZED (SELECT doc_id, pos, text, type, headings, page, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC) = 1)),
+    g AS (SELECT doc_id, n, pos, text, type, headings, page FROM l WHERE n = 1
+        UNION ALL SELECT doc_id, n, CASE WHEN how > 0 THEN fpos ELSE pos END, CASE how WHEN 2 THEN ftext || ' ' || text WHEN 1 THEN ftext || chr(10) || chr(10) || text ELSE text END, CASE how WHEN 2 THEN ftype ELSE type END,
+            CASE WHEN how > 0 THEN fheadings ELSE headings END, CASE WHEN how > 0 THEN fpage ELSE page END
+        FROM (SELECT l.*, g.pos AS fpos, g.text AS ftext, g.type AS ftype, g.headings AS fheadings, g.page AS fpage,
+            CASE WHEN l.headings = g.headings AND l.page = g.page + 1 AND regexp_matches(trim(l.text), '^\\p{Ll}') THEN 2 WHEN g.type = 'Title' THEN 1 ELSE 0 END AS how FROM g JOIN l ON l.doc_id = g.doc_id AND l.n = g.n + 1)),
+    m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY n DESC) = 1)"""
+
+
+def _conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the texts of five long documents: items, narrative texts, bare bullets, titles, and sentences that go on."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.when(turn % 5 == 2, F.concat("text", F.lit("\n- "))).when(turn % 4 == 3, F.lower("text")).otherwise(F.col("text"))
+    kind = F.when(turn % 7 == 6, "Title").when(F.col("role") == "user", "ListItem").otherwise("NarrativeText")
+    headings = F.array(F.concat(F.lit("h"), (F.floor(conv / 10) % 3).cast("string")))
+    return table(spark, sf_dir, "conversations").select((conv % 5).alias("doc_id"), (conv * 1000 + turn).alias("pos"), text.alias("text"), kind.alias("type"), headings.alias("headings"), (conv % 3 + turn).cast("int").alias("page"))
+
+
+@register("texts_w08_merged", _MERGED + " SELECT doc_id, pos, md5(text) AS text_md5, type, headings, page FROM m")
+def merged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, sentences over pages and titles of five long documents put together, by blocks of a thousand conversations."""
+    return folds.merge_texts(_conversation_texts(spark, sf_dir), block_rows=1_000_000).select("doc_id", "pos", F.md5("text").alias("text_md5"), "type", F.array_join("headings", ">").alias("headings"), "page")
+
+
+@register("texts_w08_d05_by_headings", _MERGED + """
+    SELECT doc_id, headings, min(pos) AS pos, md5(array_to_string(list(text ORDER BY pos), chr(10) || chr(10))) AS text_md5, arg_min(page, pos) AS page,
+        CASE WHEN len(list_filter(list(type ORDER BY pos)[2:], lambda x: x = 'NarrativeText')) > 0 THEN 'NarrativeText' ELSE arg_min(type, pos) END AS type FROM m GROUP BY doc_id, headings""")
+def texts_by_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under each of a document's headings."""
+    found = folds.by_headings(folds.merge_texts(_conversation_texts(spark, sf_dir), block_rows=1_000_000))
+    return found.select("doc_id", F.array_join("headings", ">").alias("headings"), "pos", F.md5("text").alias("text_md5"), "page", "type")
