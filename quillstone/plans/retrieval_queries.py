@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quillstone.catalog import register
 from quillstone.operators import evaluation as E
 from quillstone.operators import retrieval as R
+from quillstone.operators import runs
 from quillstone.plans import views as V
+from quillstone.sources import writers
+from quillstone.streaming.run import work_dir
 
 KS = [5, 10, 25]
 
@@ -76,13 +79,31 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "vec_id").select("vec_id", F.round(R.inner_product("x", "y"), 9).alias("score"))
 
 
-@register("e03_metrics_at_each_k", "WITH " + V.SQL + ", ".join(f"j{k} AS (SELECT * FROM ({'SELECT q.query_id, any_value(q.dataset) AS dataset, min(CASE WHEN r.content_hash = q.expected_hash THEN r.rank END) AS crank, min(CASE WHEN r.document_id = q.expected_document THEN r.rank END) AS drank, count(r.rank) AS got, max(r.score) AS top FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= ' + str(k) + ') r ON r.query_id = q.query_id GROUP BY q.query_id'}))" for k in KS) + " " + " UNION ALL ".join(f"SELECT {k} AS k, dataset, (grouping(dataset) = 1) AS overall, {_MEASURES} FROM j{k} GROUP BY ROLLUP (dataset)" for k in KS))
+_EACH_K = "WITH " + V.SQL + ", ".join(f"j{k} AS (SELECT * FROM ({'SELECT q.query_id, any_value(q.dataset) AS dataset, min(CASE WHEN r.content_hash = q.expected_hash THEN r.rank END) AS crank, min(CASE WHEN r.document_id = q.expected_document THEN r.rank END) AS drank, count(r.rank) AS got, max(r.score) AS top FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= ' + str(k) + ') r ON r.query_id = q.query_id GROUP BY q.query_id'}))" for k in KS) + " " + " UNION ALL ".join(f"SELECT {k} AS k, dataset, (grouping(dataset) = 1) AS overall, {_MEASURES} FROM j{k} GROUP BY ROLLUP (dataset)" for k in KS)
+
+
+@register("e03_metrics_at_each_k", _EACH_K)
 def metrics_at_each_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retrieval at the largest k serves all."""
     rows = E.at_each_k(judged(spark, sf_dir, max(KS)), KS)
     return _rounded(E.metrics(rows, keys=("k",)))
 
 
+@register("runs_e10_evaluation", _EACH_K.replace("FROM questions q LEFT JOIN", "FROM (SELECT * FROM questions WHERE dataset IN ('ds0', 'ds2')) q LEFT JOIN"))
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of two datasets from a CSV, evaluated at each k with a retrieval that is given, and read from the log."""
+    place = work_dir(spark, "evaluation")
+    writers.save_csv(V.questions(spark, sf_dir).select(*runs.QUESTION_COLUMNS), f"{place}/questions")
+    vectors, chunks = V.questions(spark, sf_dir).select("query_id", "query_vector"), V.chunks(spark, sf_dir)
+
+    def retrieve(asked: DataFrame, k: int, min_score: float) -> DataFrame:
+        found = R.retrieve(vectors.join(asked.select("query_id"), "query_id"), chunks, k, min_score)
+        return found.join(chunks.select("chunk_id", "content_hash", "document_id"), "chunk_id")
+
+    ids = runs.run_evaluation(spark, f"{place}/questions", KS, retrieve, f"{place}/log", "2024-01-02", ["ds0", "ds2"], commit="0" * 40)
+    return _rounded(runs.logged_metrics(spark, f"{place}/log", "2024-01-02", list(ids.values()))).withColumn("k", F.col("k").cast("int"))
+
+
 @register("e02_w03_judged_questions", f"WITH {V.SQL} {_JUDGED.format(k=10, least=-1)} SELECT query_id, dataset, crank::INT AS rank_if_found, drank::INT AS document_rank_if_found, crank IS NOT NULL AS correct_chunk_retrieved, drank IS NOT NULL AS correct_document_retrieved, got::INT AS n_retrieved FROM judged")
 def judged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir, 10).select("query_id", "dataset", "rank_if_found", "document_rank_if_found", "correct_chunk_retrieved", "correct_document_retrieved", F.size("retrieved_chunks").alias("n_retrieved"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
-from quillstone.operators import exports
+from quillstone.operators import exports, runs
 from quillstone.sources import change_log, datasets, paged, readers, sidecars, versions, writers
 from quillstone.sources.commits import Committed
 from quillstone.streaming.run import catch_up, fan_out, file_stream, stored, work_dir
@@ -227,3 +227,19 @@ def documents_with_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     library.load(*parts(docs.where(F.col("dataset") == ends["high"])), replaces=ends["high"])
     shown = library.documents().select("doc_id", "dataset", F.md5("content").alias("content_md5"))
     return library.chunks().join(shown, ["doc_id", "dataset"]).select("doc_id", "dataset", "content_md5", "split_index", "num_splits", F.md5("text").alias("text_md5"))
+
+
+@register("runs_s36_ingestion", "SELECT doc_id, 'CA EDD' AS dataset, 'employment' AS program, 'California' AS region FROM documents")
+def ingestion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ingestion from its arguments: a third of the documents first, and all of them when it is resumed."""
+    place = work_dir(spark, "ingested")
+
+    def load(asked: runs.Ingestion, resume: bool = False) -> int:
+        rows = spark.read.parquet(asked.path).select("doc_id")
+        return writers.ingest(readers.stamped(rows if resume else rows.where("doc_id % 3 = 0"), asked.dataset, asked.program, asked.region), place, ["doc_id"], resume)
+
+    argv = ["ingest", "CA EDD", "employment", "California", f"{sf_dir}/documents.parquet"]
+    first, rest = runs.run_ingestion(argv, load), runs.run_ingestion([*argv, "--resume"], load)
+    if first == 0 or rest == 0 or runs.run_ingestion([*argv, "--resume"], load) != 0:
+        raise AssertionError("a resumed ingestion loads what is lacking")
+    return spark.read.parquet(place).select("doc_id", F.col("dataset").cast("string").alias("dataset"), "program", "region")
