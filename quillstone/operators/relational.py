@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,32 +122,81 @@ def flatten_schema(rows: DataFrame, sep: str = "_") -> DataFrame:
     return rows.select(*walk(rows.schema, "", ""))
 
 
-def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, broadcast_bytes: int = 8 << 20, start: int = 16) -> DataFrame:
+#: Characters of an anchor, and how many neighbouring ones it is the least of.
+ANCHOR, AMONG = 16, 32
+
+
+def containing(texts: DataFrame, text: str, passages: DataFrame, passage: str, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Pairs in which a text holds a passage, one for each pair of rows; repeated rows are rows of their own.
 
-    Passages of at most ``broadcast_bytes`` go to every task. Beyond that, the first ``start`` characters of a passage
-    are a key, and every place of a text offers one: an equi-join, and then the comparison. Shorter passages go to
-    every task if they are within that bound; beyond it each is its own key, with places of its length.
+    Passages of at most ``broadcast_bytes`` go to every task. Beyond that, texts and passages meet by anchors. A long
+    passage is known by the least hash among its first stretches of ANCHOR characters, AMONG of them; a text that holds
+    it holds them all, so this hash is the least of a window there, too, and a text offers no more than the least of
+    each of its windows, about one for 16 characters. Shorter passages are known by their first ANCHOR characters or all
+    they have, and a text offers each place of it for the lengths that there are. Numbers of rows travel with anchors;
+    texts are moved once, for what has met, and compared whole. Null texts and passages are in no pair; empty passages
+    are in every text.
     """
     if _row_bytes(passages, passage) <= broadcast_bytes:
         return texts.join(F.broadcast(passages), F.contains(F.col(text), F.col(passage)))
-    n = F.length(passage)
-    by_key = _by_places(texts, text, passages.where(n >= start).withColumn("_k", F.substring(passage, 1, start)), passage, [start])
-    short = passages.where(n < start)
-    if _row_bytes(short, passage) <= broadcast_bytes:
-        return by_key.unionByName(texts.join(F.broadcast(short), F.contains(F.col(text), F.col(passage))))
-    sizes = sorted(r["n"] for r in short.where(n > 0).select(n.alias("n")).distinct().collect())  # fewer than start
-    found = by_key.unionByName(texts.where(F.col(text).isNotNull()).crossJoin(short.where(n == 0)))  # every text holds the empty one
-    return found.unionByName(_by_places(texts, text, short.where(n > 0).withColumn("_k", F.col(passage)), passage, sizes)) if sizes else found
+    t, p = (next(n for n in (f"{x}{k}" for k in range(len(texts.columns + passages.columns) + 1)) if n not in texts.columns + passages.columns) for x in ("_t", "_p"))
+    texts, some = _numbered(texts.where(F.col(text).isNotNull()), t), _numbered(passages.where(F.length(passage) > 0), p)
+    n = F.least(F.length(passage), F.lit(ANCHOR))
+    kinds = sorted(r["k"] for r in some.select(F.when(F.length(passage) >= ANCHOR + AMONG - 1, 0).otherwise(n).alias("k")).distinct().collect())  # at most 17
+    of_texts = _anchors(texts.select(F.col(t).alias("row"), F.col(text).alias("text")), lambda x: [(k, window_anchors(x) if k == 0 else stretches(x, k)) for k in kinds])
+    of_passages = _anchors(some.select(F.col(p).alias("row"), F.col(passage).alias("text")), lambda x: [(0, window_anchors(x)[:1])] if len(x) >= ANCHOR + AMONG - 1 else [(min(len(x), ANCHOR), stretches(x, min(len(x), ANCHOR))[:1])])
+    met = of_texts.withColumnRenamed("row", t).join(of_passages.withColumnRenamed("row", p), ["kind", "anchor"]).select(t, p).distinct()
+    found = met.join(texts, t).join(some, p).where(F.contains(F.col(text), F.col(passage)))
+    every = texts.drop(t).crossJoin(passages.where(F.length(passage) == 0))  # every text holds the empty one
+    return found.select(*[c for c in texts.columns if c != t], *passages.columns).unionByName(every)
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a number each, written, so that the numbers stay."""
+    from quillstone.streaming.run import work_dir
+
+    place = work_dir(rows.sparkSession, "numbered")
+    rows.withColumn(name, F.monotonically_increasing_id()).write.parquet(place)
+    return rows.sparkSession.read.parquet(place)
+
+
+def stretches(text: str, k: int) -> np.ndarray:
+    """Hashes of all stretches of ``k`` characters, in order."""
+    x = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(x) < k:
+        return np.zeros(0, np.int64)
+    h = np.full(len(x) - k + 1, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = (h ^ x[j : len(x) - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def window_anchors(text: str) -> np.ndarray:
+    """The least hash of each window of AMONG neighbouring stretches, in order; none of a shorter text."""
+    least, width = stretches(text, ANCHOR), 1
+    while width < AMONG and len(least) > 0:  # of 2, 4, 8 ... neighbours
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return least
+
+
+def _anchors(rows: DataFrame, of: Callable[[str], list[tuple[int, np.ndarray]]]) -> DataFrame:
+    """(row, kind, anchor): the different anchors of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [(row, kind, np.unique(hashes)) for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for kind, hashes in of(text)]
+                sizes = [len(own) for _, _, own in found]
+                columns = [np.repeat(np.array([f[k] for f in found], kind), sizes) for k, kind in ((0, np.int64), (1, np.int32))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate([np.zeros(0, np.int64), *(own for *_, own in found)]))], names=["row", "kind", "anchor"])
+
+    return rows.mapInArrow(run, "row long, kind int, anchor long")
 
 
 def _row_bytes(rows: DataFrame, text: str, row: int = 16) -> int:
     """UTF-8 bytes of a text column, and ``row`` for each row, so that many empty texts count as well."""
     return rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + row), F.lit(0))).first()[0]
-
-
-def _by_places(texts: DataFrame, text: str, keyed: DataFrame, passage: str, sizes: list[int]) -> DataFrame:
-    """Pairs by the key ``_k`` of a passage, which is as long as one of ``sizes``: each text has a place's key once."""
-    of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(size)))
-    places = F.array_distinct(F.concat(*[of(size) for size in sizes]))
-    return texts.withColumn("_k", F.explode(places)).join(keyed, "_k").where(F.contains(F.col(text), F.col(passage))).drop("_k")

@@ -205,3 +205,19 @@ def test_containment_keeps_repeated_rows_on_every_path(spark):
     want = sorted((t, b) for t in said for b in held if t is not None and b is not None and b in t)
     for most in (8 << 20, 250, 0):  # all sent, the short ones sent, none sent
         assert sorted(tuple(r) for r in R.containing(texts, "t", passages, "b", broadcast_bytes=most).collect()) == want
+
+
+def test_long_passages_meet_texts_by_anchors(spark):
+    import random
+
+    r = random.Random(12)
+    words = lambda n: "".join(r.choice("abé 🎉") for _ in range(n))
+    texts = [words(r.choice([0, 10, 46, 47, 60, 400])) for _ in range(60)] + ["ab " * 100, None]
+    held = [t[k : k + n] for t in texts if t for n in (1, 5, 15, 16, 20, 46, 47, 48, 90) for k in [r.randrange(max(1, len(t) - n + 1))]] + ["ab " * 20, "not anywhere " * 6, "", None, texts[3], texts[3]]
+    a, b = spark.createDataFrame([(t, n) for n, t in enumerate(texts)], "t string, _t0 int"), spark.createDataFrame([(t, n) for n, t in enumerate(held)], "b string, _p0 int")
+    want = sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(held) if t is not None and p is not None and p in t)
+    got = R.containing(a, "t", b, "b", broadcast_bytes=0)
+    assert got.columns == ["t", "_t0", "b", "_p0"] and sorted((x["_t0"], x["_p0"]) for x in got.collect()) == want
+    text = words(20_000)
+    assert len(set(R.window_anchors(text).tolist())) < 20_000 / 12  # about two in AMONG + 1
+    assert set(R.window_anchors(text[500:600]).tolist()) <= set(R.window_anchors(text).tolist())
