@@ -298,3 +298,23 @@ def marked_sentences(text: Column) -> Column:
     parts = F.split(t, r"(?<=[.?!])(?![.?!\"”])|(?<=[.?!][\"”])")
     whole = F.transform(parts, lambda p: F.trim(F.replace(p, F.lit(held), F.lit("."))))
     return F.filter(whole, lambda p: p != "")
+
+
+def citations_behind_marks(answer: Column) -> Column:
+    """Citations before a mark moved behind it, and the answer without white space at its ends."""
+    return stripped(F.regexp_replace(answer, r" *((?: *\(citation-\d+\))+) *([.?!])", "$2 $1"))
+
+
+def cited_in_order(answer: Column) -> Column:
+    """The different citations of an answer, as they first appear."""
+    return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\((citation-\d+)\)"), F.lit(1)))
+
+
+def renumbered_citations(answer: Column) -> Column:
+    """(answer, citations): citations named by numbers from 1 as they first appear, and what each was before."""
+    cited = cited_in_order(answer)
+    name = lambda c: F.concat(F.lit("(citation-"), F.array_position(cited, c).cast("string"), F.lit(")"))
+    plain = F.split(answer, r"\(citation-\d+\)", -1)
+    each = F.regexp_extract_all(answer, F.lit(r"\((citation-\d+)\)"), F.lit(1))
+    text = F.array_join(F.transform(plain, lambda part, i: F.concat(part, F.coalesce(name(F.get(each, i)), F.lit("")))), "")
+    return F.struct(text.alias("answer"), cited.alias("citations"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.relational import unused
+
 #: Labels of datasets by their names in commands.
 DATASET_LABELS = {
     "ca_ftb": "CA FTB", "ca_public_charge": "Keep Your Benefits", "ca_wic": "WIC", "covered_ca": "Covered California", "edd": "CA EDD",
@@ -102,12 +104,13 @@ def stratified_sample(rows: DataFrame, key: Column, id_col: str, fraction: float
         raise ValueError("the fraction lies between 0 and 1")
     if not fraction and min_samples is None:
         return rows
-    n = F.count(F.lit(1)).over(Window.partitionBy("_key"))
-    at = F.row_number().over(Window.partitionBy("_key").orderBy("_tie", id_col))
+    stratum, tie, total, place = (unused(rows, name) for name in ("_key", "_tie", "_n", "_at"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
+    at = F.row_number().over(Window.partitionBy(stratum).orderBy(tie, id_col))
     least = F.lit(1 if min_samples is None else min_samples)
-    size = F.least(F.col("_n"), F.greatest(least, F.floor(F.col("_n") * F.lit(float(fraction or 0.0)))))
-    keyed = rows.withColumn("_key", key).withColumn("_tie", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
-    return keyed.withColumn("_n", n).withColumn("_at", at).where(F.col("_at") <= size).drop("_key", "_tie", "_n", "_at")
+    size = F.least(F.col(total), F.greatest(least, F.floor(F.col(total) * F.lit(float(fraction or 0.0)))))
+    keyed = rows.withColumn(stratum, key).withColumn(tie, F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
+    return keyed.withColumn(total, n).withColumn(place, at).where(F.col(place) <= size).drop(stratum, tie, total, place)
 
 
 def check_fraction(fraction: float | None) -> None:

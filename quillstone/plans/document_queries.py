@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
+from quillstone.functions import strings as S
 from quillstone.operators import documents as D
 from quillstone.operators import folds
 
@@ -162,16 +163,39 @@ CITED_SQL = (
     SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM (SELECT conv_id, turn, regexp_extract_all({CITED_SQL.format(first='(conv_id + turn)')}, '\((citation-\d+)\)', 1) AS l FROM conversations)""")
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = with_citations(F.col("text"), F.col("conv_id") + F.col("turn"))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\((citation-\d+)\)"), F.lit(1)))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(found, ",").alias("cited"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.cited_in_order(text), ",").alias("cited"))
 
 
 @register("r07_citations_behind_marks", rf"""
     SELECT item_id, regexp_replace(regexp_replace({CITED_SQL.format(first='item_id')}, ' *((?: *\(citation-\d+\))+) *([.?!])', '\2 \1', 'g'), '^\s+|\s+$', '', 'g') AS moved FROM benchmark""")
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = with_citations(F.col("text"), F.col("item_id"))
-    found = F.regexp_replace(text, r" *((?: *\(citation-\d+\))+) *([.?!])", "$2 $1")
-    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(found, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "").alias("moved"))
+    return table(spark, sf_dir, "benchmark").select("item_id", S.citations_behind_marks(text).alias("moved"))
+
+
+@register("citations_w09_renumbered", rf"""
+    WITH c AS (SELECT conv_id, turn, {CITED_SQL.format(first='(conv_id + turn)')} AS said FROM conversations),
+    o AS (SELECT *, regexp_extract_all(said, '\((citation-\d+)\)', 1) AS l, regexp_split_to_array(said, '\(citation-\d+\)') AS p FROM c),
+    k AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS kept FROM o)
+    SELECT conv_id, turn, array_to_string(kept, ',') AS citations, array_to_string(list_transform(p, lambda x, i: x || CASE WHEN i <= len(l) THEN '(citation-' || list_position(kept, l[i]) || ')' ELSE '' END), '') AS answer FROM k""")
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose citations are numbered from 1 as they appear."""
+    text = with_citations(F.col("text"), F.col("conv_id") + F.col("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("said")).select("conv_id", "turn", S.renumbered_citations(F.col("said")).alias("r"))
+    return rows.select("conv_id", "turn", F.array_join("r.citations", ",").alias("citations"), "r.answer")
+
+
+@register("styles_u06_unmatched", """
+    WITH s AS (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN text || '~' || turn ELSE text END AS style, text || ' end' AS text FROM conversations WHERE length(text) > 0)
+    SELECT a.conv_id AS page, a.turn AS style_turn FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.conv_id = b.conv_id AND a.role = b.role AND contains(b.text, a.style) AND abs(length(b.text) - length(a.style)) < 10)""")
+def styles_without_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as styles, each third with an end that no text has: those are left, unless another text holds them."""
+    c = table(spark, sf_dir, "conversations").where("length(text) > 0")
+    wider = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("~"), F.col("turn").cast("string"))).otherwise(F.col("text"))
+    styles = c.select(F.struct("conv_id", "turn").alias("style_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), wider.alias("wider_text"))
+    texts = c.select(F.struct("conv_id", "turn").alias("text_id"), F.col("conv_id").alias("page"), F.col("role").alias("headings"), F.concat("text", F.lit(" end")).alias("text"))
+    _, left = D.match_styles(styles, texts)
+    return left.select(F.col("style_id.conv_id").alias("page"), F.col("style_id.turn").alias("style_turn"))
 
 
 @register("d05_grouped_texts", """

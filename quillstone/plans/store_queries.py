@@ -243,3 +243,24 @@ def ingestion_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     if first == 0 or rest == 0 or runs.run_ingestion([*argv, "--resume"], load) != 0:
         raise AssertionError("a resumed ingestion loads what is lacking")
     return spark.read.parquet(place).select("doc_id", F.col("dataset").cast("string").alias("dataset"), "program", "region")
+
+
+@register("files_s07_splits", """
+    WITH s AS (SELECT conv_id, count(*) AS n, list(text ORDER BY turn) AS texts, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
+    SELECT conv_id, i - 1 AS split_index, texts[i] AS text, roles[i] AS headings,
+        'Talk ' || conv_id || ' => ' || n || ' splits' || chr(10) || chr(10) || array_to_string(list_transform(texts, lambda t, k: '---' || chr(10) || 'length:   ' || length(t || '!') || chr(10) || 'headings: ' || roles[k] || chr(10) || t), chr(10) || chr(10)) AS readable
+    FROM s, unnest(range(1, n + 1)) AS u(i)""")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as the splits of conversations, as JSON and as readable texts in a few folders, and both read back."""
+    place = work_dir(spark, "split-files")
+    none = F.lit("")
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")).alias("title"), F.col("turn").alias("split_index"), F.array("role").alias("headings"), "text",
+        F.concat("text", F.lit("!")).alias("text_to_encode"), none.alias("chunk_id"), none.alias("data_ids"),
+    )
+    writers.save_splits(rows, place, "conv_id", "title", 16)
+    key = F.regexp_extract("path", r"/([0-9]+)\.splits", 1).cast("long")
+    files = lambda glob: sidecars.folder_files(spark, place, glob).select(key.alias("conv_id"), "content")
+    parts = files("*.splits.json").select("conv_id", F.posexplode(F.from_json("content", sidecars.SPLIT, {"mode": "FAILFAST"})).alias("split_index", "s"))
+    readable = files("*.splits.md").withColumnRenamed("content", "readable")
+    return parts.join(readable, "conv_id").select("conv_id", F.col("split_index").cast("long").alias("split_index"), "s.text", F.array_join("s.headings", ">").alias("headings"), "readable")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.operators.relational import first_by
+from quillstone.operators.relational import first_by, unused
 
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "title", "main_content", "main_primary", "nonaccordion", "markdown", "h1", "h2", "md_file")] + [T.StructField("accordions", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
 
@@ -21,8 +21,7 @@ def choose_input(paths: list[str], dataset: str) -> list[str]:
 def json_items(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Items of JSON arrays, files merged, with ``input_pos`` as their order."""
     rows = spark.read.schema(ITEM).option("multiLine", True).json(paths)
-    placed = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", F.monotonically_increasing_id())
-    return placed.withColumn("input_pos", F.struct("_file", "_n")).drop("_file", "_n")
+    return rows.withColumn("input_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")))
 
 
 def first_of_each_url(items: DataFrame) -> DataFrame:
@@ -45,8 +44,9 @@ def main_text(items: DataFrame) -> DataFrame:
 
 def with_override(items: DataFrame, overrides: DataFrame, key: str, column: str) -> DataFrame:
     """Items with a sidecar's value where there is one. ``overrides``: key and column."""
-    side = overrides.select(key, F.col(column).alias("_side"))
-    return items.join(side, key, "left").withColumn(column, F.coalesce("_side", column)).drop("_side")
+    own = unused(items, "_side")
+    side = overrides.select(key, F.col(column).alias(own))
+    return items.join(side, key, "left").withColumn(column, F.coalesce(own, column)).drop(own)
 
 
 def text_files(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFrame:

@@ -58,6 +58,24 @@ def save_markdown(splits: DataFrame, path: str, key: str) -> None:
     texts.write.mode("overwrite").partitionBy(key).text(path)
 
 
+def save_splits(splits: DataFrame, root: str, key: str, title: str, folders: int = 256) -> int:
+    """Splits of each document as JSON and as one readable text, ``<folder>/<key>.splits.json`` and ``.splits.md``.
+
+    ``splits``: key, title, split_index and the fields of a split (headings, text, text_to_encode, chunk_id, data_ids).
+    A document's folder follows from its key, and there are at most ``folders``. How many files were written.
+    """
+    fields = ["headings", "text", "text_to_encode", "chunk_id", "data_ids"]
+    part = F.struct("split_index", F.struct(*fields).alias("s"))
+    rows = splits.groupBy(key).agg(F.first(title).alias("title"), F.sort_array(F.collect_list(part), True).alias("p"))
+    folder = F.lpad(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folders)).cast("string"), 4, "0")
+    name = F.concat_ws("/", folder, F.concat(F.col(key).cast("string"), F.lit(".splits")))
+    each = F.transform("p", lambda p: F.concat(F.lit("---\nlength:   "), F.length(p["s"]["text_to_encode"]).cast("string"), F.lit("\nheadings: "), F.array_join(p["s"]["headings"], " > "), F.lit("\n"), p["s"]["text"]))
+    readable = F.concat(F.col("title"), F.lit(" => "), F.size("p").cast("string"), F.lit(" splits\n\n"), F.array_join(each, "\n\n"))
+    as_json = F.to_json(F.transform("p", lambda p: p["s"]))
+    files = rows.select(F.explode(F.array(F.struct(F.concat(name, F.lit(".json")).alias("path"), as_json.alias("content")), F.struct(F.concat(name, F.lit(".md")).alias("path"), readable.alias("content")))).alias("f"))
+    return save_files(files.select("f.*"), root)
+
+
 def save_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """One header, quotes doubled, nulls as nothing."""
     rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]) if columns else rows
