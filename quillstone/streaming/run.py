@@ -78,9 +78,11 @@ def append_new(stream: DataFrame, path: str, keys: list[str], tag: str) -> None:
     query.awaitTermination()
 
 
-def fan_out(stream: DataFrame, primary: str, others: list[str], tag: str, state: str | None = None) -> list[str]:
+def fan_out(stream: DataFrame, primary: str, others: list[str], tag: str, state: str | None = None, primary_last: bool = False) -> list[str]:
     """Write each batch to a primary store and then to others, whose failures are told but don't stop it.
 
+    ``primary_last``: the others come first, as where an answer counts only once all that belongs to it has been tried.
+
     Each store has a ledger: a batch is a commit of its own (``sources.commits``), named after ``tag`` and its number,
     so a batch that runs again, with the same ``state``, is skipped by the stores that have it and is whole in the
     others: no store holds a row twice. Read a store with ``stored``; ``catch_up`` gives another store what it missed.
@@ -92,12 +94,13 @@ def fan_out(stream: DataFrame, primary: str, others: list[str], tag: str, state:
         name = f"{tag}-{number:012d}"
         batch.persist()
         try:
-            Committed(spark, primary).append(name, batch)
-            for other in others:
+            for store in [*others, primary] if primary_last else [primary, *others]:
                 try:
-                    Committed(spark, other).append(name, batch)
+                    Committed(spark, store).append(name, batch)
                 except Exception as e:
-                    failed.append(f"{other}: {type(e).__name__}")
+                    if store == primary:
+                        raise
+                    failed.append(f"{store}: {type(e).__name__}")
         finally:
             batch.unpersist()
 

@@ -98,6 +98,11 @@ def test_a_stream_that_fails_between_stores_repeats_nothing(spark, place, monkey
     run.fan_out(stream(), f"{place}/primary", [f"{place}/other"], "s", f"{place}/new-state")  # all batches come again
     for store in ("primary", "other"):
         assert sorted(r["n"] for r in run.stored(spark, f"{place}/{store}", "n long").collect()) == list(range(30))
+    monkeypatch.undo()
+    order = []
+    monkeypatch.setattr(Committed, "append", lambda self, name, rows: order.append(self.root[-5:]) or append(self, name, rows))
+    run.fan_out(stream(), f"{place}/after", [f"{place}/first"], "s", f"{place}/last-state", primary_last=True)
+    assert order == ["first", "after"] * 3
     assert len(run.catch_up(spark, f"{place}/primary", f"{place}/third", "n long")) == 3
     assert run.catch_up(spark, f"{place}/primary", f"{place}/third", "n long") == []
 
