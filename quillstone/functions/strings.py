@@ -284,6 +284,12 @@ def char_diffs(old: Column, new: Column) -> Column:
     return count(old, new)
 
 
+def count_diffs(old: Column, new: Column) -> Column:
+    """(added, removed) as the engine that is matched counts them: its comparison is used up by the first count, so the
+    second is 0. ``char_diffs`` has both."""
+    return F.struct(char_diffs(old, new)["added"].alias("added"), F.lit(0).alias("removed"))
+
+
 def marked_sentences(text: Column) -> Column:
     """Sentences cut behind . ? and !, where the stop isn't part of a number, a web address, a title or an initial.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
+from quillstone.functions import marks
 from quillstone.functions import strings as S
 from quillstone.operators import documents as D
 from quillstone.operators import folds
@@ -294,3 +295,39 @@ def texts_by_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same under each of a document's headings."""
     found = folds.by_headings(folds.merge_texts(_conversation_texts(spark, sf_dir), block_rows=1_000_000))
     return found.select("doc_id", F.array_join("headings", ">").alias("headings"), "pos", F.md5("text").alias("text_md5"), "page", "type")
+
+
+@register("marks_d02_bold", """
+    WITH t AS (SELECT conv_id, turn, text, regexp_extract(text, '[^ ]+', 0) AS w FROM conversations WHERE text LIKE '% %' AND text NOT LIKE ' %')
+    SELECT conv_id, turn, md5(CASE WHEN w = '' THEN text ELSE left(text, strpos(text, w) - 1) || '**' || w || '**' || substr(text, strpos(text, w) + length(w)) END) AS text_md5, ' ~none' AS unapplied FROM t""")
+def bold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's first word in bold, and a style that has no place."""
+    rows = table(spark, sf_dir, "conversations").where("text like '% %' and text not like ' %'")
+    m = marks.with_bold(F.col("text"), F.array(F.concat(F.lit(" "), F.regexp_extract("text", "[^ ]+", 0), F.lit(" ")), F.lit(" ~none")))
+    return rows.select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", F.md5("m.text").alias("text_md5"), F.array_join("m.left", ",").alias("unapplied"))
+
+
+@register("marks_d03_links", """
+    WITH t AS (SELECT conv_id, turn, text, substr(text, 6, 4) AS w FROM conversations WHERE length(text) > 20),
+    p AS (SELECT *, strpos(substr(text, 4), w) + 3 AS k FROM t)
+    SELECT conv_id, turn, md5(left(text, k - 1) || '[' || w || '](http://x/' || turn || ')' || substr(text, k + 4)) AS text_md5, 'nowhere~' AS unapplied FROM p""")
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four characters of each turn as a link from a place on, and a link that has no place."""
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 20")
+    link = lambda t, at: F.struct(t.alias("text"), F.concat(F.lit("http://x/"), F.col("turn").cast("string")).alias("url"), F.lit(at).alias("start_index"))
+    m = marks.with_links(F.col("text"), F.array(link(F.substring("text", 6, 4), 3), link(F.lit("nowhere~"), 0)))
+    return rows.select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", F.md5("m.text").alias("text_md5"), F.array_join("m.left", ",").alias("unapplied"))
+
+
+@register("marks_d04_bullets", """
+    WITH t AS (SELECT conv_id, turn, role, replace(text, '. ', ' • ') AS text FROM conversations), b AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
+    SELECT conv_id, turn, md5(CASE WHEN role <> 'assistant' THEN text WHEN coalesce(before, '') = 'assistant' AND contains(text, '•') THEN
+        array_to_string(list_filter(string_split('  - ' || replace(text, '•', chr(10) || '  - '), chr(10)), lambda x: trim(x) NOT IN ('', '-')), chr(10)) ELSE '- ' || text END) AS text_md5 FROM b""")
+def bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as list items, with bullets for their sentences, which become lists below them behind another answer."""
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("role") == "assistant", "ListItem").otherwise("NarrativeText")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), F.replace("text", F.lit(". "), F.lit(" • ")).alias("text"))
+    before = F.lag("kind").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("before", before).select("conv_id", "turn", F.md5(marks.with_bullets(F.col("text"), F.col("kind"), F.coalesce("before", F.lit("")))).alias("text_md5"))

@@ -97,6 +97,13 @@ def char_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", d.alias("d")).select("doc_id", "d.*")
 
 
+@register("text_f05_count_diffs", "SELECT doc_id, 3 AS added, 0 AS removed FROM documents WHERE source IS NOT NULL")
+def counted_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as the engine that is matched counts it."""
+    d = S.count_diffs(F.col("source"), F.lit("#%&"))
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", d.alias("d")).select("doc_id", "d.*")
+
+
 @register("f35_sentences_by_marks", "SELECT item_id, unnest(['Dr. No ' || item_id || ' paid 3.50 at shop.com.', 'Why?', 'It is so!']) AS sentence FROM benchmark")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.format_string("Dr. No %d paid 3.50 at shop.com. Why? It is so!", F.col("item_id"))

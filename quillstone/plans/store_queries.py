@@ -264,3 +264,34 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = files("*.splits.json").select("conv_id", F.posexplode(F.from_json("content", sidecars.SPLIT, {"mode": "FAILFAST"})).alias("split_index", "s"))
     readable = files("*.splits.md").withColumnRenamed("content", "readable")
     return parts.join(readable, "conv_id").select("conv_id", F.col("split_index").cast("long").alias("split_index"), "s.text", F.array_join("s.headings", ">").alias("headings"), "readable")
+
+
+def _written_pages(spark: SparkSession, sf_dir: str, place: str) -> None:
+    """Pages as HTML files in folders, and each second one as markdown beside it; one file is of another kind."""
+    pages = table(spark, sf_dir, "pages").select("html", "page_id", F.concat_ws("/", F.concat(F.lit("d"), (F.col("page_id") % 7).cast("string")), F.lpad(F.col("page_id").cast("string"), 9, "0")).alias("at"))
+    html = pages.select(F.concat("at", F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
+    md = pages.where("page_id % 2 = 0").select(F.concat("at", F.lit(".md")).alias("path"), F.lit("# md").alias("content"))
+    writers.save_files(html.unionByName(md), place)
+
+
+@register("files_s03_s09_t10_html_folder", "SELECT row_number() OVER (ORDER BY page_id % 7, page_id) AS n, 'd' || (page_id % 7) || '/' || lpad(page_id::VARCHAR, 9, '0') || '.html' AS path, md5(coalesce(html, '')) AS html_md5, 'wic_scrapings.json' AS chosen FROM pages")
+def html_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HTML files of a folder, whole and in the order of their paths; what is read where no file is named."""
+    place = work_dir(spark, "html-folder")
+    _written_pages(spark, sf_dir, place)
+    files = readers.html_folder(spark, place).select(sidecars.below(F.col("path"), place).alias("path"), F.md5("html").alias("html_md5"))
+    # a sort of all paths, numbered by the rows before each range of them
+    places = files.select("path").orderBy("path").select("path", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
+    sizes = places.groupBy("part").agg(F.count(F.lit(1)).alias("size")).selectExpr("part", "coalesce(sum(size) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    numbered = places.join(sizes, "part").select("path", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("n"))
+    return files.join(numbered, "path").select("n", "path", "html_md5", F.lit(readers.choose_input([], "wic")[0]).alias("chosen"))
+
+
+@register("files_s33_refresh_counts", """
+    SELECT (SELECT count(*) FROM pages) AS html_files, (SELECT count(*) FROM pages WHERE page_id % 2 = 0) AS markdown_files, (SELECT sum(page_id % 5)::BIGINT FROM pages) AS pages, (SELECT sum(page_id % 13)::BIGINT FROM pages) AS chunks""")
+def refresh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refresh left: its files, and the pages and chunks of its log."""
+    place = work_dir(spark, "refreshed")
+    _written_pages(spark, sf_dir, place)
+    log = table(spark, sf_dir, "pages").select(F.format_string("split into %d pages; %d chunks", F.col("page_id") % 5, F.col("page_id") % 13).alias("value"))
+    return readers.refresh_counts(log, readers.html_folder(spark, place), readers.text_files(spark, place, "*.md"))

@@ -101,3 +101,9 @@ def refresh_stats(log: DataFrame) -> DataFrame:
     found = log.select(F.regexp_extract("value", r"(\d+) pages", 1).alias("p"), F.regexp_extract("value", r"(\d+) chunks", 1).alias("c"))
     number = lambda c: F.sum(F.expr(f"try_cast({c} as bigint)"))
     return found.agg(F.coalesce(number("p"), F.lit(0)).alias("pages"), F.coalesce(number("c"), F.lit(0)).alias("chunks"))
+
+
+def refresh_counts(log: DataFrame, html: DataFrame, markdown: DataFrame) -> DataFrame:
+    """One row: HTML and markdown files that there are (``path``), and the pages and chunks that a log tells of."""
+    files = lambda rows, name: rows.agg(F.count_distinct("path").alias(name))
+    return files(html, "html_files").crossJoin(files(markdown, "markdown_files")).crossJoin(refresh_stats(log))  # single rows

@@ -111,3 +111,15 @@ def test_abbreviations_are_learned(spark):
     found = {r["word"]: r["score"] for r in S.abbreviations(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string"), "t").collect()}
     assert found == pytest.approx(want) and {"mr", "dr", "etc"} & set(found) >= {"dr", "etc"} and "near" not in {w for w in found if len(w) > 5}
     assert S.abbreviations(spark.createDataFrame([], "t string"), "t").collect() == []
+
+
+def test_marks_in_texts(spark):
+    from quillstone.functions import marks
+
+    rows = [("say It is so", [" is ", "zz", "  ", "so"], [("It", "u", 0), ("say", "v", 1), ("so", "w", 99)]), ("aa", ["a", "a"], [("a", "u", 1), ("a", "v", 0)]), ("", ["x"], [("x", "u", 0)]), (None, None, None), ("t", None, None)]
+    found = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, t string, s array<string>, l array<struct<text:string,url:string,start_index:int>>")
+    got = found.select("n", marks.with_bold(F.col("t"), F.col("s")).alias("b"), marks.with_links(F.col("t"), F.col("l")).alias("k")).orderBy("n").collect()
+    assert [tuple(r["b"]) for r in got] == [("say It **is** **so**", ["zz", "  "]), ("****a****a", []), ("", ["x"]), (None, []), ("t", [])]
+    assert [tuple(r["k"]) for r in got] == [("say [It](u) is so", ["say", "so"]), ("[a](v)[a](u)", []), ("", ["x"]), (None, []), ("t", [])]
+    items = spark.createDataFrame([(0, "one • two •  • three", "ListItem", "ListItem"), (1, "one • two", "ListItem", ""), (2, "x", "ListItem", "ListItem"), (3, "• x", "Title", "ListItem")], "n int, t string, k string, b string")
+    assert [r["x"] for r in items.select("n", marks.with_bullets(F.col("t"), F.col("k"), F.col("b")).alias("x")).orderBy("n").collect()] == ["  - one \n  -  two \n  -  three", "- one • two", "- x", "• x"]
