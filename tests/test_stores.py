@@ -201,7 +201,7 @@ def test_pages_are_followed_to_their_end(spark):
     assert rows.rdd.getNumPartitions() == 4
     assert sorted((r["n"], r["lacking"]) for r in rows.collect()) == [(n, None) for n in range(50)]
     assert paged.paged(spark, "numbers", _fetch(), [], "n long").collect() == []
-    with pytest.raises(Exception, match="expected 11 entities, but got 12"):
+    with pytest.raises(Exception, match="expected 11 entities, but got 1[23]"):
         paged.paged(spark, "numbers", _fetch(11), ranges, "n long").collect()
     with pytest.raises(ValueError, match="stands still"):
         list(paged.entities(_fetch(stuck=True), (1, 3)))
