@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.catalog import register, table
@@ -99,6 +101,47 @@ def policy_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", S.policy_cleanup(md).alias("md"))
 
 
+_LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')"
+
+
+def _shaped(spark: SparkSession, sf_dir: str, shape: Callable[[Column, Column], Column]) -> DataFrame:
+    """Turns whose lines, blank ones apart, are shaped by their number from 0."""
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r")) != "")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(lines, shape), "\n").alias("md"))
+
+
+@register("texts_f20_edd_fixes", f"""
+    SELECT conv_id, turn, array_to_string(list_transform({_LINES}, lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN '    + ' WHEN 1 THEN ' ' ELSE '...' END || x || '!'), chr(10)) AS md FROM conversations""")
+def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of turns as sublists without a list, headings as items, and behind spaced dots; a mark behind each, as a line of two short sentences is an empty item."""
+    rows = _shaped(spark, sf_dir, lambda x, i: F.concat(F.when(i % 3 == 0, "* + ").when(i % 3 == 1, "* ### ").otherwise(". . ."), x, F.lit("!")))
+    return rows.withColumn("md", S.edd_fixes(F.col("md")))
+
+
+@register("texts_f29_list_repairs", f"""
+    SELECT conv_id, turn, array_to_string(list_transform({_LINES}, lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN x || CASE WHEN i < len({_LINES}) THEN chr(10) ELSE '' END WHEN 1 THEN '* ' || x ELSE '    - ' || x END), chr(10)) AS md FROM conversations""")
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of turns as paragraphs, items right below them, and items of inner lists."""
+    rows = _shaped(spark, sf_dir, lambda x, i: F.concat(F.when(i % 3 == 0, "").when(i % 3 == 1, "* ").otherwise("  * "), x))
+    return rows.withColumn("md", S.list_repairs(F.col("md")))
+
+
+@register("texts_h10_policy_cleanup", f"""
+    SELECT conv_id, turn, regexp_replace(array_to_string(list_transform({_LINES}, lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN '1. ' || x ELSE x END), chr(10)), '^\\s+|\\s+$', '', 'g') AS md FROM conversations""")
+def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of turns behind bullets before numbers, fences, and rules."""
+    rows = _shaped(spark, sf_dir, lambda x, i: F.concat(F.when(i % 3 == 0, "* 1. ").when(i % 3 == 1, "~~~~").otherwise("--- \n"), x))
+    return rows.withColumn("md", S.policy_cleanup(F.col("md")))
+
+
+@register("texts_f26_query_values", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a ' || page_id || '&' END AS value FROM pages")
+def query_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of urls of which each second one has a key twice, its first value; none of the others."""
+    i = F.col("page_id").cast("string")
+    url = F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?z="), i, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("&k=a%20"), i, F.lit("%26&k=c"))).otherwise(F.lit("&kk=no")))
+    return table(spark, sf_dir, "pages").select("page_id", S.query_value(url, "k").alias("value"))
+
+
 @register("h03_without_anchors", "SELECT item_id, text AS md FROM benchmark")
 def without_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a text as a link to a part or a pane, by turns of the rows."""
