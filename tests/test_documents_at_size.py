@@ -48,6 +48,7 @@ def _python_steps(df) -> list[int]:
     ("r06_r11_simplified_citations", 1),
     ("m07_m11_page_trees", 2),
     ("m10_headings_by_level", 1),
+    ("h02_pages_as_markdown", 1),
 ])
 def test_python_takes_slices_and_no_step_twice(spark, name, steps):
     assert _python_steps(entry.queries()[name](spark, entry.DATA)) == [PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF] * steps
