@@ -133,7 +133,7 @@ def canned_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer that stands ready is a stream of one part, and is put together like any other."""
     ready = file_stream(spark, f"{sf_dir}/events.parquet").where("event_type = 'click'")
     parts = ready.select(F.col("event_id").alias("message_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("canned "), "event_type").alias("text"), F.lit(True).alias("done"))
-    return drain(stateful.assemble(parts), "canned")
+    return stateful.drained_responses(parts, tag="canned")
 
 
 @register("x04_two_step_requests", "SELECT q.conv_id, q.turn, 'answer to ' || q.text AS answer FROM conversations q WHERE q.role = 'user'")

@@ -40,7 +40,7 @@ def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"\s*\S+\s*|\s+"), F.lit(0))
     parts = turns.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), words.alias("words"))
     parts = parts.select("message_id", F.size("words").alias("n"), F.posexplode("words").alias("seq", "text"))
-    done = run.drain(stateful.assemble(parts.select("message_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("n") - 1).alias("done"))), "assemble")
+    done = stateful.drained_responses(parts.select("message_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("n") - 1).alias("done")))
     ids = F.split("message_id", "-")
     return done.select(ids[0].cast("long").alias("conv_id"), ids[1].cast("long").alias("turn"), "response")
 

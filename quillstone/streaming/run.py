@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from quillstone.sources.commits import Committed
 
@@ -58,6 +59,31 @@ def drain(stream: DataFrame, tag: str, mode: str = "append", many_states: bool =
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+def drain_by_steps(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], kept: T.StructType, told: T.StructType, tag: str) -> DataFrame:
+    """Run a stream over all there is now, each batch by ``step(rows, kept)``, and read what it told.
+
+    ``step`` gets a batch and what the batches before left, and gives what is told and what is left for the next one,
+    all as tables, so that a batch is worked on as any table is. ``kept`` and ``told`` are their schemas. A batch's rows go
+    into a folder of its number, what is left into two folders in turn: one that runs again finds what it found before
+    and overwrites only what it wrote itself.
+    """
+    place = work_dir(stream.sparkSession, tag)
+    numbers: set[int] = set()
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(kept).parquet(f"{place}/kept-{(number - 1) % 2}") if number else spark.createDataFrame([], kept)
+        rows, left = step(batch, before)
+        rows.write.mode("overwrite").parquet(f"{place}/out/{number}")
+        left.write.mode("overwrite").parquet(f"{place}/kept-{number % 2}")
+        numbers.add(number)
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(told).parquet(*[f"{place}/out/{n}" for n in sorted(numbers)]) if numbers else spark.createDataFrame([], told)
+
+
 def append_new(stream: DataFrame, path: str, keys: list[str], tag: str) -> None:
     """Append to a table those rows of a stream whose keys it lacks; a batch that runs twice adds nothing twice."""
     spark = stream.sparkSession

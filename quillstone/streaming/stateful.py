@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quillstone.streaming import run
+
 #: How long a counter is kept without events, where a time is wanted rather than a number of counters.
 IDLE_MS = 24 * 3600 * 1000
 
@@ -115,6 +117,27 @@ def assemble(parts: DataFrame, key: str = "message_id") -> DataFrame:
     return parts.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, response string", "seqs array<long>, texts array<string>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def drained_responses(parts: DataFrame, key: str = "message_id", tag: str = "assemble") -> DataFrame:
+    """What ``assemble`` gives of a stream that ends, as a table: each batch is grouped with the parts that still wait,
+    so that no message costs a call of Python. Of parts with the same number the one that came in an earlier batch stands."""
+
+    def split(rows: DataFrame, waiting: bool) -> DataFrame:
+        part = F.struct(F.col("seq").cast("long").alias("seq"), F.lit(not waiting).alias("new"), "text", F.coalesce("done", F.lit(False)).alias("done"))
+        return rows.select(F.col(key).alias("key"), part.alias("part"))
+
+    def step(batch: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = split(batch, False).unionByName(split(kept, True)).groupBy("key").agg(F.array_sort(F.collect_list("part")).alias("all"), F.max(F.when(F.col("part.done"), F.col("part.seq"))).alias("last"))
+        first = F.filter("all", lambda p, k: (k == 0) | (p["seq"] != F.get("all", k - 1)["seq"]))
+        found = found.select("key", "all", first.alias("parts"), (F.size(first) == F.col("last") + 1).alias("whole"))
+        told = found.where("whole").select(F.col("key").alias(key), F.array_join("parts.text", "").alias("response"))
+        left = found.where("whole is not true").select(F.col("key").alias(key), F.explode("all").alias("part"))
+        return told, left.select(key, "part.seq", "part.text", "part.done")
+
+    kind = parts.schema[key].dataType.simpleString()
+    empty = lambda names: parts.sparkSession.createDataFrame([], names).schema
+    return run.drain_by_steps(parts, step, empty(f"{key} {kind}, seq long, text string, done boolean"), empty(f"{key} {kind}, response string"), tag)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their values by type and window of event time; an addition, with a watermark for late rows."""
     marked = events.withWatermark("ts", late)
