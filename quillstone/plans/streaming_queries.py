@@ -14,7 +14,7 @@ from quillstone.streaming import run, stateful
     WHERE n <= 10 OR (n <= 100 AND n % 10 = 0) OR n % 100 = 0""")
 def streamed_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = run.file_stream(spark, f"{sf_dir}/events.parquet", 1_000_000)
-    return run.drain(stateful.throttle(events, ["event_type", "user_id"], ["ts", "event_id"]), "throttle")
+    return stateful.drained_throttle(events, ["event_type", "user_id"], ["ts", "event_id"])
 
 
 #: A counter is forgotten between two of its events if, since the first of them, at least 128 other keys of the shard

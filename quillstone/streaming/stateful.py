@@ -6,11 +6,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from quillstone.operators import relational
 from quillstone.streaming import run
 
 #: How long a counter is kept without events, where a time is wanted rather than a number of counters.
@@ -45,6 +46,27 @@ def throttle(events: DataFrame, keys: list[str], order: list[str], event_id: str
     return events.groupBy(*keys).applyInPandasWithState(step, f"{event_id} {kind}, occurrence int", "n long", "append", timeout)
 
 
+def drained_throttle(events: DataFrame, keys: list[str], order: list[str], event_id: str = "event_id", tag: str = "throttle") -> DataFrame:
+    """What ``throttle`` tells of a stream that ends, as a table: each batch is numbered by one window, in which a key's
+    counter stands before its events, so that no key costs a call of Python."""
+    kind = events.schema[event_id].dataType.simpleString()
+
+    def split(rows: DataFrame) -> DataFrame:
+        event = F.struct(F.col(event_id).alias("id"), *[F.col(c).alias(f"by{k}") for k, c in enumerate(order)])
+        return rows.select(F.struct(*keys).alias("key"), F.lit(1).cast("long").alias("n"), event.alias("event"))
+
+    def step(batch: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = split(batch)
+        every = rows.unionByName(kept.withColumn("event", F.lit(None).cast(rows.schema["event"].dataType)))
+        in_order = Window.partitionBy("key").orderBy(F.col("event").isNotNull(), *[F.col(f"event.by{k}").asc_nulls_last() for k in range(len(order))])
+        numbered = every.select("event", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+        told = numbered.where(F.col("event").isNotNull() & relational.throttled(F.col("n"))).select(F.col("event.id").alias(event_id), F.col("n").cast("int").alias("occurrence"))
+        return told, every.groupBy("key").agg(F.sum("n").alias("n"))
+
+    kept = split(events).select("key", "n").schema
+    return run.drain_by_steps(events, step, kept, events.sparkSession.createDataFrame([], f"{event_id} {kind}, occurrence int").schema, tag)
+
+
 class RecentCounters(StatefulProcessor):
     """The counters of one shard, least recently written first, at most ``capacity``; beyond that the first is forgotten."""
 
