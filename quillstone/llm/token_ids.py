@@ -2,8 +2,9 @@
 
 The byte-level pre-tokeniser never joins what stands before a space to the space, if a non-space follows it. Such
 texts are encoded word by word and the ids of words are kept; any other text, and every text of a vocabulary with
-another normaliser, pre-tokeniser or model, is encoded whole by the library. New words are cut by
-the pre-tokeniser's pattern, and the library's model encodes their new parts.
+another normaliser, pre-tokeniser or model, is encoded whole by the library. A line's end before a non-space is a part
+of its own, the last of its white space, so words end there too and a line's first word begins with it. New words are
+cut by the pre-tokeniser's pattern, and the library's model encodes their new parts.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ import re
 import struct
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
+from itertools import compress, islice, repeat
+from operator import not_
 
 import numpy as np
 import regex
@@ -25,12 +26,16 @@ import regex
 KEEP = 600_000
 #: Texts whose words are looked up together: few, so that their lists are small and stay in the cache.
 BLOCK = 64
+#: Kept runs of marks.
+KEEP_MARKS = 20_000
 PACK = [struct.Struct(f"<{n}I") for n in range(24)]
 #: Fixed value: the published pattern of the pre-tokeniser of this family of vocabularies, white space as Unicode has it
 #: (Python's own takes a few control characters for it).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+""")
-MARKS = ",.:;!?)"
+#: What may stand behind a word's letters as one part: no apostrophe, which may begin a part with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE = re.compile(r" (?:\s|\Z)")
+_LOOSE_LINE, _LINE = re.compile(r"\n(?:\s|\Z)"), re.compile(r"\n(?=\S)")
 
 
 def by_words(settings: dict) -> bool:
@@ -52,7 +57,7 @@ class Encoder:
             self.by_words = by_words(json.load(file))
         if not self.by_words:
             return
-        self.after: dict[str, bytes] = {}  # words after a space
+        self.after: dict[str, bytes] = {}  # words after a space, and after a line's end with that
         self.first: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -61,7 +66,8 @@ class Encoder:
         others = [b for b in range(256) if b not in as_is]
         self.shown = {b: chr(b) for b in as_is} | {b: chr(256 + n) for n, b in enumerate(others)}
         self.space = self.shown[32]
-        self.marks = dict(zip(MARKS, self._whole(list(MARKS)), strict=True))
+        self.marks: dict[str, bytes] = {}
+        self.line = None if any("\n" in s for s in self.special) else self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -94,22 +100,43 @@ class Encoder:
         kept.update((w, b"".join([ids[p] for p in parts])) for w, parts in cut.items())
 
     def _learn_after(self, words: set[str]) -> None:
-        """Words after a space: letters, or letters and one mark, are one part, or that and the mark."""
+        """Words after a space: letters, or letters and marks, are one part, or that and the marks'. Words after a
+        line's end likewise, behind that."""
         kept = self.after
-        letters, marked, other = set(), [], set()
+        letters, lines, marked, other = set(), set(), [], set()
+        said = " ".join(words)
+        if any(s in said for s in self.special):
+            other = {w for w in words if any(s in w for s in self.special)}
+            words = words - other
         for w in words:
             if w.isalpha():
                 letters.add(w)
-            elif w[-1:] in self.marks and w[:-1].isalpha():
-                marked.append(w)
+                continue
+            base = w.rstrip(MARKS)
+            if base.isalpha():
+                marked.append((w, base))
+                if base not in kept:
+                    letters.add(base)
+            elif base[:1] == "\n" and base[1:].isalpha():
+                if len(base) < len(w):
+                    marked.append((w, base))
+                if base not in kept:
+                    lines.add(base)
             else:
                 other.add(w)
-        letters.update(w for x in marked if (w := x[:-1]) not in kept)
         kept.update(zip(letters, self._model([" " + w for w in letters]), strict=True))
+        if lines:
+            line = self.line
+            kept.update(zip(lines, [line + ids for ids in self._model([w[1:] for w in lines])], strict=True))
         marks = self.marks
-        kept.update([(w, kept[w[:-1]] + marks[w[-1]]) for w in marked])
-        if other:
-            self._learn(kept, other, " ")
+        if len(marks) > KEEP_MARKS:
+            marks.clear()
+        new = list({w[len(base) :] for w, base in marked}.difference(marks))
+        marks.update(zip(new, self._model(new), strict=True))
+        kept.update([(w, kept[base] + marks[w[len(base) :]]) for w, base in marked])
+        for lead in (" ", ""):
+            if some := {w for w in other if (w[0] != "\n") == bool(lead)}:
+                self._learn(kept, some, lead)
 
     def forget(self) -> None:
         """Let go of the kept words: a worker that waits for its next task then holds little beside the vocabulary."""
@@ -131,24 +158,35 @@ class Encoder:
             for k, ids in zip(loose, self._whole([texts[k] for k in loose]), strict=True):
                 out[k] = ids
         skip = set(loose)
-        for kept in (self.after, self.first):
-            if len(kept) > KEEP:
-                kept.clear()
-        texts = {k: t.split(" ") for k, t in enumerate(texts) if t and k not in skip}
+        if len(self.after) > KEEP:
+            # words that are met often were met early: the older half stays
+            self.after = dict(islice(self.after.items(), KEEP // 2))
+        if len(self.first) > KEEP:
+            self.first.clear()
+        texts = {k: self._lines(t).split(" ") for k, t in enumerate(texts) if t and k not in skip}
         heads = {k: words.pop(0) for k, words in texts.items()}
         self._learn(self.first, set(heads.values()).difference(self.first), "")
         after = self.after.get
-        found = {k: list(map(after, words)) for k, words in texts.items()}
-        lacking = {k: list(compress(words, map(is_, found[k], repeat(None)))) for k, words in texts.items() if None in found[k]}
+        found = {k: list(map(after, words, repeat(b""))) for k, words in texts.items()}
+        lacking = {k: list(compress(range(len(words)), map(not_, found[k]))) for k, words in texts.items() if not all(found[k])}
         if lacking:
-            self._learn_after(set().union(*lacking.values()))
+            self._learn_after({texts[k][i] for k, new in lacking.items() for i in new})
+            kept = self.after
             for k, new in lacking.items():
-                new = map(self.after.__getitem__, new)
-                found[k] = [ids if ids is not None else next(new) for ids in found[k]]
+                words, ids = texts[k], found[k]
+                for i in new:
+                    ids[i] = kept[words[i]]
         for k, ids in found.items():
             out[k] = self.first[heads[k]] + b"".join(ids)
         return out
 
+    def _lines(self, text: str) -> str:
+        """``text`` with a space more before each line's end that begins a word. White space before a special token is
+        one part, so texts with one stay as they are."""
+        if self.line is None or "\n" not in text or any(s in text for s in self.special):
+            return text
+        return _LINE.sub(" \n", text) if _LOOSE_LINE.search(text) else text.replace("\n", " \n")
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
